@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sylvan.llm import mixing, urls
+from sylvan.llm import mixing, secrets, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op2_url_filter": urls.query,
         "op4_mix_sources": mixing.query,
+        "op5_secret_scan": secrets.query,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": urls.SQL,
         "op4_mix_sources": mixing.SQL,
+        "op5_secret_scan": secrets.SQL,
     }
