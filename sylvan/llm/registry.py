@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sylvan.llm import mixing, secrets, urls
+from sylvan.llm import chat, mixing, rules, secrets, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_url_filter": urls.query,
         "op4_mix_sources": mixing.query,
         "op5_secret_scan": secrets.query,
+        "op9_quality_rules": rules.query,
+        "op10_chat_format": chat.query,
     }
 
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": urls.SQL,
         "op4_mix_sources": mixing.SQL,
         "op5_secret_scan": secrets.SQL,
+        "op10_chat_format": chat.SQL,
     }
