@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from sylvan.llm import chat, mixing, rules, secrets, urls
+from sylvan.llm import chat, mixing, quality, rules, secrets, toxicity, urls
 
 
 def queries() -> dict:
     """Query name -> callable(spark, sf_dir)."""
     return {
         "op2_url_filter": urls.query,
+        "op3_toxicity": toxicity.query,
         "op4_mix_sources": mixing.query,
         "op5_secret_scan": secrets.query,
+        "op7_quality_ranking": quality.query,
         "op9_quality_rules": rules.query,
         "op10_chat_format": chat.query,
     }
