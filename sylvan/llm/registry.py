@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sylvan.llm import chat, mixing, quality, rules, secrets, toxicity, urls
+from sylvan.llm import chat, jaccard, mixing, quality, rules, secrets, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.query,
         "op4_mix_sources": mixing.query,
         "op5_secret_scan": secrets.query,
+        "op6_jaccard_join": jaccard.query,
         "op7_quality_ranking": quality.query,
         "op9_quality_rules": rules.query,
         "op10_chat_format": chat.query,
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": urls.SQL,
         "op4_mix_sources": mixing.SQL,
         "op5_secret_scan": secrets.SQL,
+        "op6_jaccard_join": jaccard.SQL,
         "op10_chat_format": chat.SQL,
     }
