@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from sylvan.llm import chat, jaccard, mixing, quality, rules, secrets, toxicity, urls
+import corpus_pipeline
+from sylvan.llm import chat, jaccard, mixing, neighbours, packing, quality, rules, secrets, toxicity, urls
 
 
 def queries() -> dict:
     """Query name -> callable(spark, sf_dir)."""
     return {
+        "op1_length_packing": packing.query,
         "op2_url_filter": urls.query,
         "op3_toxicity": toxicity.query,
         "op4_mix_sources": mixing.query,
         "op5_secret_scan": secrets.query,
         "op6_jaccard_join": jaccard.query,
         "op7_quality_ranking": quality.query,
+        "op8_nearest_vectors": neighbours.query,
         "op9_quality_rules": rules.query,
         "op10_chat_format": chat.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
