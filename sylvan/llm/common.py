@@ -36,7 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        # A plan made under this setting drops its shuffle files when it has run.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def shuffle_key(doc_id: Column) -> Column:

@@ -3,8 +3,8 @@
 1. Documents with equal shingle sets are one class; one document stands for it.
 2. Of each class only the shingles a link must share are looked at (a prefix in a fixed
    order, rare shingles first), and of these only those that another class has too.
-3. Similar classes form groups: those with the same most common shared shingle and about the
-   same size, in blocks of bounded size. The token-group matrix holds, for each token, the
+3. Similar classes form groups: those of about one size that meet through shared prefix
+   tokens, in blocks of bounded size. The token-group matrix holds, for each token, the
    blocks whose token union contains it and their range of set sizes.
 4. A pair of blocks is opened only if the matrix has a token in both and their sizes can
    meet. Inside, rows whose overlap with the other block's token union is below what a link
@@ -27,6 +27,8 @@ from sylvan.llm.components import components
 
 #: Classes in a block, columns multiplied at a time, and words whose hashes a worker remembers.
 BLOCK, COLUMNS, CACHE = 128, 4096, 200_000
+#: Rounds in which labels spread through shared tokens when groups form.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ class Join:
     @property
     def zone(self) -> int:
         """Tokens below this bound come first in the order, by frequency; the rest by value."""
-        return int(min(1.0, 1.5 * (1 - self.percent / 100)) * 2**63)
+        return int(min(0.32, 2 * (1 - self.percent / 100)) * 2**63)
 
     @property
     def least(self) -> int:
@@ -55,24 +57,23 @@ class Shingles:
     """Shingle sets of texts as sorted arrays of 63-bit hashes."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        from xxhash import xxh3_64_intdigest
 
-    def hash_words(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+        class Known(dict):
+            def __missing__(self, word):
+                h = self[word] = xxh3_64_intdigest(word)
+                return h
 
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        self.words, self.known = words, Known()
 
     def of(self, text: str | None) -> np.ndarray:
         """The set of one text; empty without words."""
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.int64)
-        h = self.hash_words(words)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         k = min(self.words, len(words))
         with np.errstate(over="ignore"):
             x = np.full(len(words) - k + 1, k, np.uint64)
@@ -91,35 +92,29 @@ def signature(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def set_sizes(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n (set size), sig (null for an empty set) of every row."""
-    import pyarrow as pa
-
-    def run(batches):
-        shingles = Shingles(join.words)
-        for batch in batches:
-            sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary")
+def token_sets(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, n (set size), sig (null for an empty set), zoned, tokens of every row.
 
-
-def first_tokens(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, sig, n, tokens: all tokens below the zone's bound and at least a prefix, by value."""
+    tokens: those below the zone's bound, `zoned` of them, and at least a prefix, by value;
+    none of a set so small that it links with equal ones only.
+    """
     import pyarrow as pa
 
+    kinds = {"n": pa.int64(), "sig": pa.binary(), "zoned": pa.int64(), "tokens": pa.list_(pa.int64())}
+
     def run(batches):
         shingles = Shingles(join.words)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 own = shingles.of(text)
-                if len(own) >= join.least:
-                    out.append((doc, signature(own), len(own), own[: max(join.prefix(len(own)), int(np.searchsorted(own, join.zone)))]))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["doc_id", "sig", "n", "tokens"])
+                zoned = int(np.searchsorted(own, join.zone))
+                shown = own[: max(join.prefix(len(own)), zoned)] if len(own) >= join.least else own[:0]
+                out.append((len(own), signature(own) if len(own) else None, zoned, shown))
+            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *kinds])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig binary, n long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, zoned long, tokens array<long>")
 
 
 def shared_prefixes(tokens: DataFrame, join: Join) -> DataFrame:
@@ -128,7 +123,7 @@ def shared_prefixes(tokens: DataFrame, join: Join) -> DataFrame:
     The order is the same for all: zone tokens by frequency and value, then others by value.
     Tokens of one class only come first, so a class with enough of them drops out here.
     """
-    rows = tokens.select(F.col("doc_id").alias("rep"), "n", F.size(F.filter("tokens", lambda t: t < join.zone)).alias("zoned"), F.explode("tokens").alias("token"))
+    rows = tokens.select(F.col("doc_id").alias("rep"), "n", "zoned", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     late = (F.col("token") >= join.zone).cast("int")
     place = F.struct(late.alias("late"), F.when(late == 0, F.col("df")).otherwise(0).alias("rank"), "token", "df")
@@ -141,20 +136,30 @@ def shared_prefixes(tokens: DataFrame, join: Join) -> DataFrame:
 
 
 def blocks(prefixes: DataFrame, join: Join) -> DataFrame:
-    """(rep, block): classes grouped by most common prefix token and size, in bounded blocks."""
+    """(rep, block): classes that share prefix tokens, directly or by few others, in bounded blocks.
+
+    Each round hands the least label among a token's classes to all of them. A group that is
+    still in parts after the rounds only opens more pairs of blocks.
+    """
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / join.percent)))
-    own = prefixes.groupBy("rep", band.alias("band")).agg(F.max(F.struct("df", "token")).alias("top")).select("rep", "band", F.col("top.token").alias("top"))
-    parts = own.groupBy("top", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    labels = prefixes.select("rep").distinct().withColumn("label", F.col("rep"))
+    for _ in range(ROUNDS):
+        rows = prefixes.select("token", "rep").join(labels, "rep")
+        least = rows.groupBy("token").agg(F.min("label").alias("least"))
+        labels = cut(prefixes.select("token", "rep").join(least, "token").groupBy("rep").agg(F.min("least").alias("label")))
+    labels = labels.join(prefixes.select("rep", band.alias("band")).distinct(), "rep")
+    parts = labels.groupBy("label", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    return own.join(parts, ["top", "band"]).select("rep", F.xxhash64("top", "band", part).alias("block"))
+    return labels.join(parts, ["label", "band"]).select("rep", F.xxhash64("label", "band", part).alias("block"))
 
 
 def opened(prefixes: DataFrame, members: DataFrame, join: Join) -> DataFrame:
     """(a, b), a <= b: pairs of blocks that the token-group matrix can't rule out."""
     matrix = prefixes.join(members, "rep").groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    alone = members.groupBy("block").agg(F.count("*").alias("m")).filter("m = 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
     x, y = matrix.alias("x"), matrix.alias("y")
     meets = (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.hi") >= join.percent * F.col("y.lo")) & (100 * F.col("y.hi") >= join.percent * F.col("x.lo"))
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & meets).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & meets).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct().join(alone, ["a", "b"], "left_anti")
 
 
 def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +264,12 @@ def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     component. Equal sets link; rows that share a doc_id are one node. Sets are compared by
     64-bit hashes of their shingles.
     """
-    sizes = cut(set_sizes(docs, join))
+    sets = cut(token_sets(docs, join))
+    sizes = sets.select("doc_id", "n", "sig")
     classes = cut(sizes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
     large = classes.filter(F.col("n") >= join.least)
-    tokens = cut(first_tokens(docs, join).join(large.select("sig", F.col("rep").alias("doc_id")), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]))
-    prefixes = cut(shared_prefixes(tokens, join))
+    tokens = sets.filter(F.col("n") >= join.least).join(large.select("sig", F.col("rep").alias("doc_id")), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+    prefixes = cut(shared_prefixes(cut(tokens), join))
     members = cut(blocks(prefixes, join))
     pairs = opened(prefixes, members, join)
     found = cut(links(docs, large, members, pairs, join))
