@@ -22,7 +22,10 @@ RANGE, QUERIES = 10_000, 256
 
 @dataclass(frozen=True)
 class Curves:
-    """window is the share of all vectors that a query looks at on each curve."""
+    """window is the share of all vectors that a query looks at on each curve.
+
+    A window holds least_vectors at least, so a smaller table is searched whole.
+    """
 
     k: int = 10
     curves: int = 8
@@ -30,6 +33,7 @@ class Curves:
     bits: int = 6
     window: float = 0.18
     least_ranges: int = 25
+    least_vectors: int = 500
     seed: int = 7
 
 
@@ -137,7 +141,8 @@ def nearest(rows: DataFrame, is_query, c: Curves = Curves()) -> DataFrame:
                     yield pdf.assign(curve=curve, key=layout.keys(x, curve))
 
     ranges = max(c.least_ranges, -(-n // RANGE))
-    reach = max(1, round(c.window * ranges / 2))
+    least = min(n, c.least_vectors)
+    reach = max(1, round(c.window * ranges / 2), -(-(least * ranges - n) // (2 * n)))
     on_curves = index.mapInPandas(place, "embedding array<double>, ids array<long>, curve int, key long")
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = on_curves.groupBy("curve").agg(F.percentile_approx("key", cuts, max(10_000, 20 * ranges)).alias("bounds"))

@@ -81,14 +81,14 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=None) -> DataFr
     return blobs.select("blob", F.lit(version).alias("rules_version"), all_spans(F.col("text"), rules).alias("spans"))
 
 
-def with_findings(docs: DataFrame, entries: DataFrame, rules=None) -> DataFrame:
-    """Every row of docs with `spans`: its blob's findings under this rule set, [] where clean.
+def with_findings(docs: DataFrame, entries: DataFrame, rules=None, name: str = "spans") -> DataFrame:
+    """Every row of docs with a column of its blob's findings under this rule set, [] where clean.
 
-    Only blobs with findings take part in the join. A column of docs named spans is replaced.
+    Only blobs with findings take part in the join. A column of docs of that name is replaced.
     """
     found = entries.filter((F.col("rules_version") == rules_version(rules)) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = docs.drop("spans").withColumn("__key", blob_of(F.col("text"))).join(found, F.col("__key") == F.col("__blob"), "left")
-    return joined.withColumn("spans", F.coalesce("__spans", F.array().cast(SPAN))).drop("__key", "__blob", "__spans")
+    joined = docs.drop(name).withColumn("__key", blob_of(F.col("text"))).join(found, F.col("__key") == F.col("__blob"), "left")
+    return joined.withColumn(name, F.coalesce("__spans", F.array().cast(SPAN))).drop("__key", "__blob", "__spans")
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules=None) -> tuple[DataFrame, DataFrame]:
@@ -117,9 +117,9 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced and n_chars counted again; same columns and rows."""
-    found, _ = scan_documents(docs)
-    dirty = F.size("spans") > 0
-    out = found.withColumn("text", F.when(dirty, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    found = with_findings(docs, scan(docs), name="__found")
+    dirty = F.size("__found") > 0
+    out = found.withColumn("text", F.when(dirty, redacted(F.col("text"), F.col("__found"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(dirty, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -76,11 +76,10 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     )
     branch = general.groupBy("host", "general").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
     everywhere = branch.groupBy("general").agg(F.sum("labels").alias("g_labels"), F.sum("bad").alias("g_bad"))
-    total = branch.agg(F.coalesce(F.sum("labels"), F.lit(0)).alias("t_labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("t_bad"))
-    prior = (F.col("g_bad") + PRIOR * ((F.col("t_bad") + 0.5) / (F.col("t_labels") + 1.0))) / (F.col("g_labels") + PRIOR)
+    total = urls.agg(F.count("bad"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    prior = (F.col("g_bad") + PRIOR * ((total[1] + 0.5) / (total[0] + 1.0))) / (F.col("g_labels") + PRIOR)
     judged = (
         branch.join(everywhere, "general")
-        .join(F.broadcast(total))  # one row
         .withColumn("purity", (F.col("bad") + PRIOR * prior) / (F.col("labels") + PRIOR))
         .select("host", "general", "purity", F.when(F.col("purity") >= REJECT, "block").otherwise("allow").alias("verdict"))
     )
