@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvan.operators.lineage import cut
+
 
 class Walk:
     """A walk over commits(commit, parents array, time): Walk(c).before(..).after(..).commits().
@@ -37,7 +39,7 @@ class Walk:
         while True:
             far += 1
             edge = edges.join(edge.select("commit"), "commit").select(F.col("parent").alias("commit")).distinct().join(seen.select("commit"), "commit", "left_anti").withColumn("far", F.lit(far))
-            edge = edge.persist()
+            edge = cut(edge)
             if edge.isEmpty():
                 return seen
             seen = seen.unionByName(edge)

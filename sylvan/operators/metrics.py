@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvan.operators.lineage import cut
+
 #: Node types that fork control flow and those that keep a complexity: fixed values.
 FORKS = ["if_statement", "for_statement", "while_statement", "do_statement", "switch_label", "catch_clause", "ternary_expression"]
 MEASURED = ["program", "class_declaration", "interface_declaration", "enum_declaration", "record_declaration", "method_declaration"]
@@ -81,17 +83,15 @@ def bottom_up(occ: DataFrame, spec: MetricSpec, name: str, levels: int | None =
 
     levels is the greatest height; it is looked up if not given.
     """
+    rows = cut(occ.select("root", "pre", "parent", "pos", "height", spec.init.alias("__own")))
     if levels is None:
-        levels = occ.agg(F.max("height")).first()[0] or 0
-    rows = occ.withColumn("__own", spec.init)
+        levels = rows.agg(F.max("height")).first()[0] or 0
     done = rows.filter("height = 0").select("root", "parent", "pre", "pos", "height", spec.finish(F.col("__own"), F.lit(None)).alias("value"))
     for h in range(1, levels + 1):
         here = rows.filter(F.col("height") == h)
         up = done.join(here.select("root", F.col("pre").alias("parent")), ["root", "parent"], "left_semi").groupBy("root", F.col("parent").alias("pre")).agg(spec.acc.alias("__acc"))
         new = here.join(up, ["root", "pre"]).select("root", "parent", "pre", "pos", "height", spec.finish(F.col("__own"), F.col("__acc")).alias("value"))
-        done = done.unionByName(new)
-        if h % 6 == 0:
-            done = done.checkpoint() if occ.sparkSession.sparkContext.getCheckpointDir() else done
+        done = cut(done.unionByName(new))
     return done.select("root", "pre", F.col("value").alias(name))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.operators.diff import Tree
+from sylvan.operators.lineage import cut
 
 #: Queries on test smells in the pattern language: fixed by the smell catalogue's definitions.
 SMELLS = {
@@ -78,7 +79,7 @@ def lattice(examples: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     for i in range(1, rounds + 1):
         made = now.select(F.col("query").alias("src"), F.explode(step("query")).alias("g")).select("src", F.col("g.query").alias("dst"), F.col("g.kind").alias("kind")).distinct()
         edges = made if edges is None else edges.unionByName(made)
-        now = made.select(F.col("dst").alias("query")).distinct().join(nodes.select("query"), "query", "left_anti").withColumn("level", F.lit(i))
+        now = cut(made.select(F.col("dst").alias("query")).distinct().join(nodes.select("query"), "query", "left_anti").withColumn("level", F.lit(i)))
         nodes = nodes.unionByName(now)
     return nodes, edges
 
@@ -102,12 +103,14 @@ def groups(edges: DataFrame) -> DataFrame:
 
     Labels jump to their label's label each round, so long chains need few rounds.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().persist()
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = cut(both)
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
         step = labels.join(near, F.col("node") == F.col("src")).select("node", F.least("component", "near").alias("component"))
-        jump = step.join(step.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component")).persist()
+        jump = step.join(step.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+        jump = cut(jump)
         if jump.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").isEmpty():
             return jump
         labels = jump

@@ -140,20 +140,29 @@ _JAVA = re.compile(
     r"""|(?P<number>\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<punct>.)""",
     re.S,
 )
-#: Java words with a role in the coarse grammar below: fixed values.
-_TYPES = frozenset(("class", "interface", "enum", "record"))
+_C = re.compile(r"(?P<preprocessor>^[ \t]*\#(?:[^\n\\]|\\.)*)|" + _JAVA.pattern, re.S | re.M)
+#: Words of bracket languages with a role in the coarse grammar below: fixed values.
+_TYPES = {
+    "java": frozenset(("class", "interface", "enum", "record")),
+    "cpp": frozenset(("class", "struct", "enum", "union", "namespace")),
+    "c": frozenset(("struct", "enum", "union")),
+    "ts": frozenset(("class", "interface", "enum", "namespace", "function")),
+}
+_IMPORTS = {"java": ("import", "package"), "cpp": ("using",), "c": (), "ts": ("import", "export")}
+_PLAIN = frozenset("public private protected static final new import package void int boolean char long double float const using typedef let var async".split())
 _CONTROL = {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "switch": "switch_expression", "try": "try_statement", "catch": "catch_clause", "case": "switch_label", "else": "else", "return": "return_statement", "throw": "throw_statement"}
 _BRACKETS = {"{": ("block", "}"), "(": ("parenthesized", ")"), "[": ("brackets", "]")}
 
 
-def java(text: str) -> Iterator[Node]:
-    """A coarse Java front-end: brackets nest, statements split at ; and blocks, tokens are leaves.
+def brackets(text: str, lang: str) -> Iterator[Node]:
+    """A coarse front-end: brackets nest, statements split at ; and blocks, tokens are leaves.
 
     Declarations are recognised by shape (class X {, name(...) {), so metrics and patterns on
     declarations, control flow, identifiers, literals, comments and white space work without
     a full grammar. Every character is in exactly one leaf, so leaves reprint the source.
     """
-    leaves = [(m.lastgroup, m[0], m.start(), m.end()) for m in _JAVA.finditer(text)]
+    types, imports = _TYPES[lang], _IMPORTS[lang]
+    leaves = [(m.lastgroup, m[0], m.start(), m.end()) for m in (_C if lang in ("c", "cpp") else _JAVA).finditer(text)]
     out: list[list] = []
 
     def emit(depth, kind, label, role, start, end):
@@ -163,7 +172,7 @@ def java(text: str) -> Iterator[Node]:
     def leaf(i, depth, role=None):
         group, t, s, e = leaves[i]
         kind = {"word": "identifier", "punct": t, "number": "decimal_integer_literal"}.get(group, group)
-        if group == "word" and (t in _CONTROL or t in _TYPES or t in ("public", "private", "protected", "static", "final", "new", "import", "package", "void", "int", "boolean")):
+        if group == "word" and (t in _CONTROL or t in types or t in _PLAIN):
             kind = t
         emit(depth, kind, t, role, s, e)
 
@@ -185,10 +194,10 @@ def java(text: str) -> Iterator[Node]:
             return "statement"
         if words[0] in _CONTROL:
             return _CONTROL[words[0]]
-        if words[0] in ("import", "package"):
+        if words[0] in imports:
             return words[0] + "_declaration"
-        if any(w in _TYPES for w in words):
-            return next(w for w in words if w in _TYPES) + "_declaration"
+        if any(w in types for w in words):
+            return next(w for w in words if w in types) + "_declaration"
         if "(" in words and j < end and leaves[j][1] == "{" and "=" not in words and words[-1] != "new":
             return "method_declaration"
         if "=" in words or (len(words) == 2 and j < end):
@@ -198,7 +207,7 @@ def java(text: str) -> Iterator[Node]:
     def sequence(i, depth, closer):
         """Statements up to closer; returns the place after it."""
         while i < len(leaves) and leaves[i][1] != closer:
-            if leaves[i][0] in ("spaces", "line_comment", "block_comment"):
+            if leaves[i][0] in ("spaces", "line_comment", "block_comment", "preprocessor"):
                 leaf(i, depth)
                 i += 1
                 continue
@@ -206,7 +215,7 @@ def java(text: str) -> Iterator[Node]:
             node = emit(depth, kind, None, None, leaves[i][2], 0)
             named = None
             if kind.endswith("_declaration") and kind != "variable_declaration":
-                named = next((j + 1 for j in range(i, min(i + 40, len(leaves))) if leaves[j][1] in _TYPES), None) if kind != "method_declaration" else None
+                named = next((j + 1 for j in range(i, min(i + 40, len(leaves))) if leaves[j][1] in types), None) if kind != "method_declaration" else None
             while i < len(leaves) and leaves[i][1] != closer:
                 group, t = leaves[i][:2]
                 if group == "punct" and t in _BRACKETS:
@@ -224,7 +233,7 @@ def java(text: str) -> Iterator[Node]:
                 role = None
                 if group == "word":
                     after = next((leaves[k][1] for k in range(i + 1, len(leaves)) if leaves[k][0] != "spaces"), "")
-                    if (kind == "method_declaration" and after == "(") or (named is not None and i > named - 1 and t not in _TYPES):
+                    if (kind == "method_declaration" and after == "(") or (named is not None and i > named - 1 and t not in types):
                         role, named = "name", None
                 leaf(i, depth + 1, role)
                 i += 1
@@ -256,6 +265,81 @@ def java(text: str) -> Iterator[Node]:
     yield from map(tuple, out)
 
 
+def java(text: str) -> Iterator[Node]:
+    """Java by the coarse front-end."""
+    return brackets(text, "java")
+
+
+def cpp(text: str) -> Iterator[Node]:
+    """C++ by the coarse front-end; preprocessor lines are leaves."""
+    return brackets(text, "cpp")
+
+
+def c(text: str) -> Iterator[Node]:
+    """C by the coarse front-end."""
+    return brackets(text, "c")
+
+
+def typescript(text: str) -> Iterator[Node]:
+    """TypeScript by the coarse front-end."""
+    return brackets(text, "ts")
+
+
+_XML = re.compile(r"""<!--(?P<comment>.*?)-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?(?P<pi>.*?)\?>|<!(?P<decl>[^>]*)>|</(?P<end>[^\s>]+)\s*>|<(?P<tag>[^\s/>!?]+)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*?)(?P<self>/?)>|(?P<text>[^<]+|<)""", re.S)
+_ATTR = re.compile(r"""([^\s=]+)\s*=\s*("[^"]*"|'[^']*')""")
+
+
+def xml(text: str) -> Iterator[Node]:
+    """Elements with a name child, attributes, text, comments; stray end tags are ERROR leaves."""
+    nodes, open_ = [[0, "document", None, None, 0, len(text)]], []
+    for m in _XML.finditer(text):
+        kind, depth, (a, b) = m.lastgroup, len(open_) + 1, m.span()
+        if m["tag"] is not None:
+            nodes.append([depth, "element", None, None, a, b])
+            nodes.append([depth + 1, "tag_name", m["tag"], "name", a + 1, a + 1 + len(m["tag"])])
+            for attr in _ATTR.finditer(m["attrs"]):
+                nodes.append([depth + 1, "attribute", attr[2][1:-1], attr[1], m.start("attrs") + attr.start(), m.start("attrs") + attr.end()])
+            if not m["self"]:
+                open_.append((m["tag"], len(nodes) - 2 - sum(1 for _ in _ATTR.finditer(m["attrs"]))))
+        elif m["end"] is not None:
+            if any(t == m["end"] for t, _ in open_):
+                while True:
+                    tag, i = open_.pop()
+                    nodes[i][5] = b
+                    if tag == m["end"]:
+                        break
+            else:
+                nodes.append([depth, "ERROR", m[0], None, a, b])
+        else:
+            name = {"pi": "instruction", "decl": "doctype"}.get(kind, kind)
+            nodes.append([depth, "spaces" if kind == "text" and not m[0].strip() else name, m[kind], None, a, b])
+    yield from map(tuple, nodes)
+
+
+_MAKE = re.compile(r"(?P<comment>\#[^\n]*\n?)|(?P<rule>^[^\s#:=][^:=\n]*:(?![=])[^\n]*\n?(?:\t[^\n]*\n?)*)|(?P<assignment>^[^\s#:=][^:=\n]*[:?+]?=[^\n]*\n?)|(?P<spaces>\s+)|(?P<other>[^\n]*\n?)", re.M)
+
+
+def makefile(text: str) -> Iterator[Node]:
+    """Rules with target, prerequisites and recipe lines; assignments; comments."""
+    yield 0, "makefile", None, None, 0, len(text)
+    for m in _MAKE.finditer(text):
+        if not m[0]:
+            continue
+        a, b = m.span()
+        if m.lastgroup != "rule":
+            yield 1, m.lastgroup, m[0], None, a, b
+            continue
+        yield 1, "rule", None, None, a, b
+        head, _, recipe = m[0].partition("\n")
+        target, _, needs = head.partition(":")
+        for t in target.split():
+            yield 2, "target", t, "name", a, a + len(target)
+        for n in needs.split():
+            yield 2, "prerequisite", n, None, a + len(target) + 1, a + len(head)
+        for line in recipe.splitlines():
+            yield 2, "recipe", line.strip(), None, a + len(head), b
+
+
 def lines(text: str) -> Iterator[Node]:
     """document / line / (word | spaces): a tree for plain text that reprints it."""
     yield 0, "document", None, None, 0, len(text)
@@ -270,4 +354,6 @@ def lines(text: str) -> Iterator[Node]:
         at = end + 1
 
 
-FRONT_ENDS = {"html": html, "json": json_tree, "sexp": sexp, "java": java, "text": lines}
+FRONT_ENDS = {"html": html, "xml": xml, "json": json_tree, "sexp": sexp, "java": java, "cpp": cpp, "c": c, "ts": typescript, "make": makefile, "text": lines}
+#: File name suffix -> front-end.
+SUFFIXES = {".java": "java", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".h": "c", ".c": "c", ".ts": "ts", ".xml": "xml", ".html": "html", ".json": "json", "Makefile": "make", ".mk": "make"}
