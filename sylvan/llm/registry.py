@@ -30,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": mixing.SQL,
         "op5_secret_scan": secrets.SQL,
         "op6_jaccard_join": jaccard.SQL,
+        "op9_quality_rules": rules.SQL,
         "op10_chat_format": chat.SQL,
     }

@@ -170,4 +170,49 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), refs: dict | None = N
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: base counts, distances and verdict of every document."""
-    return quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _sql() -> str:
+    r = Rules()
+    word = r"[^\x20\x09-\x0D]"
+    lists = ", ".join("('%s', ['%s'])" % (lang, "', '".join(w.decode() for w in words)) for lang, words in WORDS.items())
+    js = "sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
+    # of[kind]: counts of each document by class or common word, as (doc_id, lang of the histogram, i, n)
+    return f"""
+WITH common(lang, list) AS (VALUES {lists}),
+d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM documents),
+g AS (SELECT doc_id, i, k, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (
+      SELECT doc_id, unnest(range(1, len(w) - {r.window - 2})) AS i, unnest(list_transform(range(1, len(w) - {r.window - 2}), lambda i: array_to_string(w[i:i + {r.window - 1}], ' '))) AS k FROM d WHERE len(w) > {r.window})),
+rep AS (SELECT doc_id, sum(least({r.window}, i - prev))::BIGINT AS n FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - {r.window}) AS prev FROM g WHERE c > 1) GROUP BY 1),
+b AS (SELECT d.doc_id, lang, t, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN rep USING (doc_id)),
+c0 AS (SELECT doc_id, [len(regexp_extract_all(t, '[a-z]')), len(regexp_extract_all(t, '[A-Z]')), len(regexp_extract_all(t, '[0-9]')), len(regexp_extract_all(t, '[ \\t\\n\\x0b\\x0c\\r]')),
+      len(regexp_extract_all(t, '[.,;:!?''"()-]'))] AS c, length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) AS wide, length(t) AS n FROM d),
+c1 AS (SELECT doc_id, list_concat(c, [n - wide - list_sum(c), wide]) AS c FROM c0),
+cls AS (SELECT doc_id, unnest(range(7)) AS i, unnest(c)::DOUBLE AS n FROM c1),
+tok AS (SELECT doc_id, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM d),
+cnt AS (SELECT doc_id, k, count(*) AS n FROM tok GROUP BY 1, 2),
+voc AS (SELECT lang, unnest(list) AS k FROM common),
+refs AS (SELECT DISTINCT lang FROM d JOIN common USING (lang) WHERE t <> ''),
+near AS (SELECT doc_id, r.lang FROM b JOIN refs r ON r.lang = b.lang OR b.lang IS NULL OR b.lang NOT IN (SELECT lang FROM refs)),
+own AS (SELECT near.doc_id, near.lang, voc.k, coalesce(cnt.n, 0)::DOUBLE AS n FROM near JOIN voc USING (lang) LEFT JOIN cnt ON cnt.doc_id = near.doc_id AND cnt.k = voc.k),
+wrd AS (SELECT * FROM own UNION ALL SELECT o.doc_id, o.lang, chr(0), b.n_words - o.n FROM (SELECT doc_id, lang, sum(n) AS n FROM own GROUP BY 1, 2) o JOIN b USING (doc_id)),
+cref AS (SELECT b.lang, i, sum(n) AS n FROM cls JOIN b USING (doc_id) JOIN refs USING (lang) GROUP BY 1, 2),
+wref AS (SELECT wrd.lang, k, sum(n) AS n FROM wrd JOIN b ON b.doc_id = wrd.doc_id AND b.lang = wrd.lang GROUP BY 1, 2),
+cdist AS (SELECT doc_id, min(v) AS v FROM (SELECT doc_id, lang, {js} AS v FROM (
+      SELECT near.doc_id, near.lang, cls.n / sum(cls.n) OVER x AS p, cref.n / sum(cref.n) OVER x AS q FROM near JOIN cls USING (doc_id) JOIN cref ON cref.lang = near.lang AND cref.i = cls.i JOIN b ON b.doc_id = near.doc_id WHERE length(b.t) >= {r.guard_chars}
+      WINDOW x AS (PARTITION BY near.doc_id, near.lang)) GROUP BY 1, 2) GROUP BY 1),
+wdist AS (SELECT doc_id, min(v) AS v FROM (SELECT doc_id, lang, {js} AS v FROM (
+      SELECT wrd.doc_id, wrd.lang, wrd.n / sum(wrd.n) OVER x AS p, wref.n / sum(wref.n) OVER x AS q FROM wrd JOIN wref USING (lang, k) JOIN b ON b.doc_id = wrd.doc_id WHERE n_words >= {r.guard_words}
+      WINDOW x AS (PARTITION BY wrd.doc_id, wrd.lang)) GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT b.*, n_words < {r.least_words} OR 100 * n_repeat_words > {r.repeat_percent} * n_words AS base_failed, cdist.v AS cd, wdist.v AS wd FROM b LEFT JOIN cdist USING (doc_id) LEFT JOIN wdist USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, base_failed,
+       NOT (base_failed OR coalesce(cd > {r.class_distance}, false) OR coalesce(wd > {r.word_distance}, false)) AS kept FROM j
+"""
+
+
+SQL = _sql()
