@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from sylvan.plans import catalog
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 def rows_of(frame):
     names = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else (v.isoformat() if hasattr(v, "isoformat") else (round(v, 9) if isinstance(v, float) else v))
+    plain = lambda v: None if v is None or v is pd.NA or v != v else (v.isoformat() if hasattr(v, "isoformat") else (round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else v))
     table = [tuple(plain(v) for v in r) for r in frame[names].astype(object).itertuples(index=False)]
     return names, sorted(table, key=lambda r: tuple((v is None, str(v)) for v in r))
 
