@@ -468,26 +468,90 @@ def apply(s: Tree, d: Tree, actions: list[tuple]):
     return [nest(x) for x in kids["^"]]
 
 
-def diff_pairs(pairs: DataFrame, occ: DataFrame, algorithm: str = "greedy_100") -> DataFrame:
-    """(pair, links, inserts, updates, moves, deletes) of pairs(pair, src_root, dst_root).
-
-    Equal trees are settled by a comparison of their roots' contents where occ has a column
-    `content`; the others are grouped by pair, so a task holds two trees at a time.
-    """
+def _by_pair(pairs: DataFrame, occ: DataFrame, work, fields: str) -> DataFrame:
+    """Runs work(source tree, destination tree) -> columns for each pair; a task holds two trees at a time."""
     import pandas as pd
 
+    def tree(pdf):
+        t = pdf.sort_values("pre")
+        return Tree(t.type.tolist(), [None if pd.isna(x) else x for x in t.label], [None if pd.isna(x) else int(x) for x in t.parent])
+
     def run(pdf):
-        trees = []
-        for side in (0, 1):
-            t = pdf[pdf.side == side].sort_values("pre")
-            trees.append(Tree(t.type.tolist(), [None if pd.isna(x) else x for x in t.label], [None if pd.isna(x) else int(x) for x in t.parent]))
-        s, d = trees
+        s, d = tree(pdf[pdf.side == 0]), tree(pdf[pdf.side == 1])
         if not s.type or not d.type:
             return pd.DataFrame()
-        m = match(s, d, algorithm)
-        kinds = [a[0] for a in edit_script(s, d, m)]
-        return pd.DataFrame({"pair": [pdf.pair.iloc[0]], "links": [len(m.src)], **{k + "s": [kinds.count(k)] for k in ("insert", "update", "move", "delete")}})
+        out = pd.DataFrame(work(s, d))
+        out.insert(0, "pair", pdf.pair.iloc[0])
+        return out
 
     side = lambda name, i: pairs.join(occ, F.col(name) == F.col("root")).select("pair", F.lit(i).alias("side"), "pre", "parent", "type", "label")
     rows = side("src_root", 0).unionByName(side("dst_root", 1))
-    return rows.groupBy("pair").applyInPandas(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, links long, inserts long, updates long, moves long, deletes long")
+    return rows.groupBy("pair").applyInPandas(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, {fields}")
+
+
+def diff_pairs(pairs: DataFrame, occ: DataFrame, algorithm: str = "greedy_100") -> DataFrame:
+    """(pair, links, inserts, updates, moves, deletes) of pairs(pair, src_root, dst_root)."""
+
+    def work(s, d):
+        m = match(s, d, algorithm)
+        kinds = [a[0] for a in edit_script(s, d, m)]
+        return {"links": [len(m.src)], **{k + "s": [kinds.count(k)] for k in ("insert", "update", "move", "delete")}}
+
+    return _by_pair(pairs, occ, work, "links long, inserts long, updates long, moves long, deletes long")
+
+
+def mappings(pairs: DataFrame, occ: DataFrame, algorithm: str = "greedy_100") -> DataFrame:
+    """(pair, src, dst): the linked nodes of each pair, by pre-order number."""
+
+    def work(s, d):
+        links = sorted(match(s, d, algorithm).src.items())
+        return {"src": [a for a, _ in links], "dst": [b for _, b in links]}
+
+    return _by_pair(pairs, occ, work, "src long, dst long")
+
+
+def actions(pairs: DataFrame, occ: DataFrame, algorithm: str = "greedy_100") -> DataFrame:
+    """(pair, ord, kind, node, node_new, parent, parent_new, pos, label): edit scripts as rows.
+
+    node and parent are numbers in the source tree, or in the destination where *_new is
+    true; parent -1 is the place above the root. See edit_script().
+    """
+    number = lambda x: None if x is None else (-1 if x == "^" else (x[1] if isinstance(x, tuple) else x))
+
+    def work(s, d):
+        import pandas as pd
+
+        script = edit_script(s, d, match(s, d, algorithm))
+        whole = lambda values: pd.array(values, dtype="Int64")
+        return {
+            "ord": range(len(script)),
+            "kind": [a[0] for a in script],
+            "node": whole([number(a[1]) for a in script]),
+            "node_new": [isinstance(a[1], tuple) for a in script],
+            "parent": whole([number(a[2]) for a in script]),
+            "parent_new": [isinstance(a[2], tuple) for a in script],
+            "pos": whole([a[3] for a in script]),
+            "label": [a[4] for a in script],
+        }
+
+    return _by_pair(pairs, occ, work, "ord int, kind string, node long, node_new boolean, parent long, parent_new boolean, pos long, label string")
+
+
+def compare_mappings(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(pair, same, missing, additional): links of each pair against expected ones: a full outer join."""
+    keys = ["pair", "src", "dst"]
+    both = found.select(*keys).distinct().withColumn("__f", F.lit(True)).join(expected.select(*keys).distinct().withColumn("__e", F.lit(True)), keys, "full_outer")
+    has, wanted = F.col("__f").isNotNull(), F.col("__e").isNotNull()
+    return both.groupBy("pair").agg(F.count_if(has & wanted).alias("same"), F.count_if(~has).alias("missing"), F.count_if(~wanted).alias("additional"))
+
+
+def script_text(actions: DataFrame) -> DataFrame:
+    """(pair, script): a line for each action, in order."""
+    place = lambda c: F.concat(F.when(F.col(f"{c}_new"), "+").otherwise(""), F.col(c).cast("string"))
+    line = F.concat_ws(" ", "kind", place("node"), F.when(F.col("parent").isNotNull(), F.concat(F.lit("to "), place("parent"), F.lit("."), F.col("pos").cast("string"))), F.col("label"))
+    return actions.groupBy("pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))), lambda x: x.t), "\n").alias("script"))
+
+
+def examples(actions: DataFrame) -> DataFrame:
+    """(pair, kind, nodes): what each pair deletes, inserts, moves and updates, as example sets for mining."""
+    return actions.groupBy("pair", "kind").agg(F.array_sort(F.collect_set("node")).alias("nodes"))

@@ -95,6 +95,25 @@ def bottom_up(occ: DataFrame, spec: MetricSpec, name: str, levels: int | None =
     return done.select("root", "pre", F.col("value").alias(name))
 
 
+def top_down(occ: DataFrame, start: Column, step: Callable[[Column], Column], name: str, keep: Column | None = None, levels: int | None = None) -> DataFrame:
+    """(root, pre, name): a state handed down, start at roots and step(parent's state) below.
+
+    Nodes for which keep doesn't hold are left out with all below them. One join for each
+    level of depth; levels is the greatest depth, looked up if not given. With bottom_up on
+    what is left, this is a fold with a filter on the way down.
+    """
+    rows = occ if keep is None else occ.filter(F.coalesce(keep, F.lit(False)))
+    if levels is None:
+        levels = rows.agg(F.max("depth")).first()[0] or 0
+    level = rows.filter("depth = 0").select("root", "pre", start.alias("__state"))
+    out = level
+    for d in range(1, levels + 1):
+        above = level.select("root", F.col("pre").alias("parent"), F.col("__state").alias("__above"))
+        level = cut(rows.filter(F.col("depth") == d).join(above, ["root", "parent"]).select("root", "pre", step(F.col("__above")).alias("__state")))
+        out = out.unionByName(level)
+    return out.withColumnRenamed("__state", name)
+
+
 def merkle(occ: DataFrame, name: str = "content", labels: bool = True, levels: int | None = None) -> DataFrame:
     """(root, pre, name): hash of type, label and ordered children; equal hashes, equal subtrees.
 

@@ -129,3 +129,21 @@ def enclosing(occ: DataFrame, of: DataFrame, types: list[str]) -> DataFrame:
     """(root, pre, ancestor): the nearest ancestor of one of the types, for nodes of(root, pre)."""
     near = ancestors(occ, of).filter(F.col("ancestor_type").isin(types))
     return near.groupBy("root", "pre").agg(F.min_by("ancestor", "up").alias("ancestor"))
+
+
+def sibling_neighbours(occ: DataFrame) -> DataFrame:
+    """(root, pre, previous, next): the siblings beside each node, null at either end."""
+    siblings = Window.partitionBy("root", "parent").orderBy("pos")
+    return occ.select("root", "pre", F.lag("pre").over(siblings).alias("previous"), F.lead("pre").over(siblings).alias("next"))
+
+
+def text_positions(occ: DataFrame) -> DataFrame:
+    """(root, pre, first_char, past_char): where each node's text lies in the text of its tree.
+
+    A node's text is that of the leaves below it; one running sum over the leaves gives both ends.
+    """
+    here = F.when(F.col("size") == 1, F.length(F.coalesce("label", F.lit("")))).otherwise(0)
+    run = Window.partitionBy("root").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    rows = occ.select("root", "pre", (F.col("pre") + F.col("size") - 1).alias("end_pre"), here.alias("chars")).withColumn("past_char", F.sum("chars").over(run))
+    ends = rows.select("root", F.col("pre").alias("end_pre"), "past_char")
+    return rows.withColumn("first_char", F.col("past_char") - F.col("chars")).drop("past_char").join(ends, ["root", "end_pre"]).select("root", "pre", "first_char", "past_char")

@@ -25,6 +25,7 @@ class Step:
     """A node to match. types: alternatives; None any named node; "_" any node at all."""
 
     types: list[str] | None = None
+    supertype: str | None = None  # (sup/sub): sup must be among the node's supertypes
     any_node: bool = False
     role: str | None = None
     captures: list[str] = field(default_factory=list)
@@ -100,14 +101,15 @@ def _step(tokens, i, late):
             option, i = _step(tokens, i, late)
             options.append(option)
         i += 1
-        plain = all(o.types and not (o.children or o.captures or o.options or o.without or o.role or o.quantifier or o.predicates) for o in options)
+        plain = all(o.types and not (o.supertype or o.children or o.captures or o.options or o.without or o.role or o.quantifier or o.predicates) for o in options)
         step = Step(types=[x for o in options for x in o.types]) if plain else Step(options=options)
     elif t == "(":
         i += 1
         if tokens[i] in ("(", "[") or tokens[i].startswith('"'):
             step = Step(types=[], any_node=True)  # a group: siblings below any parent
         else:
-            step = Step(types=None if tokens[i] == "_" else [tokens[i].split("/")[-1]])
+            above, _, name = tokens[i].rpartition("/")
+            step = Step(types=None if name == "_" else [name], supertype=above or None)
             i += 1
         anchored = False
         while tokens[i] != ")":
@@ -211,6 +213,8 @@ class _Plan:
             rows = rows.filter(F.col("named") & (F.col("type") != "ERROR"))
         else:
             rows = rows.filter(F.col("type") != "ERROR")
+        if step.supertype and "supertypes" in rows.columns:
+            rows = rows.filter(F.array_contains("supertypes", step.supertype))
         if step.role:
             rows = rows.filter(F.col("role") == step.role)
         for predicate, args in step.predicates:
@@ -303,7 +307,7 @@ def counts(occ: DataFrame, source: str, keys: DataFrame | None = None, **options
 
 def limited(found: DataFrame, limit: int) -> DataFrame:
     """At most `limit` matches of each pattern in each tree, first nodes first."""
-    order = Window.partitionBy("root", "pattern").orderBy("at", F.col("captures").cast("string"))
+    order = Window.partitionBy("root", "pattern").orderBy("at", F.transform("captures", lambda c: c.pre), F.transform("captures", lambda c: c["name"]))
     return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= limit).drop("__r")
 
 

@@ -61,3 +61,13 @@ def view(occ: DataFrame) -> DataFrame:
     has, inner = F.col("label").isNotNull(), F.col("size") > 1
     kind = F.when(has & inner, "both").when(has, "labeled").when(inner, "children").otherwise("typed")
     return occ.groupBy("root", kind.alias("kind")).agg(F.array_sort(F.collect_list("pre")).alias("nodes"))
+
+
+def reindented(text, old: str, new: str):
+    """A Column of text with `old` at the start of each line replaced by `new`."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(x.startswith(old), F.concat(F.lit(new), F.substr(x, F.lit(len(old) + 1)))).otherwise(x)), "\n")
+
+
+def indentation(text):
+    """A Column: blanks and tabs at the start of the last line of white space."""
+    return F.regexp_extract(text, r"(?:^|\n)([ \t]*)[^\n]*$", 1)

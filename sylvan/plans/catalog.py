@@ -345,7 +345,7 @@ def event_property_trees(spark, sf_dir):
 @query()
 def turn_differences(spark, sf_dir):
     """Edit summaries of consecutive turns, as trees of lines and words."""
-    c = load(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(".", "conv_id", "turn")).withColumn("text", F.substring_index(F.coalesce("text", F.lit("")), ".", 6))
+    c = load(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(".", "conv_id", "turn"))
     occ = navigation.without_spaces(parse(c, "key", "text", "text"))
     pairs = c.filter("turn > 0").select(F.col("key").alias("pair"), F.concat_ws(".", F.col("conv_id"), F.col("turn") - 1).alias("src_root"), F.col("key").alias("dst_root"))
     return diff.diff_pairs(pairs, occ, "simple")
@@ -390,3 +390,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL with the same rows."""
     return dict(ORACLES)
+
+
+from sylvan.plans import tree_views  # noqa: E402,F401  registers its queries here
