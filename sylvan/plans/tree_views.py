@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sylvan.operators import aggregates, diff, metrics, navigation, patterns, serialize
+from sylvan.operators import aggregates, diff, history, metrics, navigation, patterns, serialize
 from sylvan.plans.catalog import FOREST, load, query
 from sylvan.sources.trees import order_forest
 
@@ -132,6 +132,18 @@ def equal_subtrees(spark, sf_dir):
     return one.withColumn("is_unique", F.lit(True)).unionByName(more.withColumn("is_unique", F.lit(False)))
 
 
+@query(
+    f"WITH {CONTENTS}, {_EQUAL}, u AS (SELECT *, count(*) OVER (PARTITION BY pair, src) AS s, count(*) OVER (PARTITION BY pair, dst) AS d FROM found), "
+    "links AS (SELECT pair, src + i AS src, dst + i AS dst FROM (SELECT *, unnest(range(size)) AS i FROM u WHERE s = 1 AND d = 1)) "
+    "SELECT root, pre, root + 1 AS next_root, links.dst AS next_pre, CASE WHEN links.dst IS NULL THEN 'missing' ELSE 'direct' END AS status FROM occ LEFT JOIN links ON links.pair = root AND links.src = pre"
+)
+def followed_nodes(spark, sf_dir):
+    """Every node followed into the next customer's tree by unique equal subtrees."""
+    occ, pairs = _contents(spark, sf_dir), _pairs(spark, sf_dir)
+    unique, _ = diff.unique_matches(diff.equal_subtrees(pairs, occ, least_height=1))
+    return history.follow(occ, pairs, diff.link_below(unique), occ)
+
+
 @query(
     f"WITH {CONTENTS} SELECT pair, 'deleted' AS side, a.pre FROM pairs JOIN oc a ON a.root = src_root WHERE NOT EXISTS (SELECT 1 FROM oc b WHERE b.root = dst_root AND b.c = a.c) "
     "UNION ALL SELECT pair, 'added', b.pre FROM pairs JOIN oc b ON b.root = dst_root WHERE NOT EXISTS (SELECT 1 FROM oc a WHERE a.root = src_root AND a.c = b.c)"

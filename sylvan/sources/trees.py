@@ -63,7 +63,8 @@ def parse(df: DataFrame, root: str, text: str, lang: str) -> DataFrame:
     def run(frames):
         for pdf in frames:
             out = [[r, *row] for r, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]) for row in encode(front(t or ""))]
-            yield pd.DataFrame(out, columns=names).astype({"parent": "Int32"}) if out else pd.DataFrame({n: [] for n in names})
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({"parent": "Int32"})
 
     return df.select(F.col(root), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInPandas(run, f"root {kind}, {OCC}")
 

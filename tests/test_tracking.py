@@ -6,7 +6,7 @@ from sylvan.operators import diff, history, metrics, patterns, serialize
 from sylvan.sources import types
 from sylvan.sources.trees import parse
 
-SOURCES = [("a", "(f (g x) (h y))"), ("b", "(f (h y) (g x))"), ("c", "(f (h z))"), ("e", "")]
+SOURCES = [("a", '(f (g "x") (h "y"))'), ("b", '(f (h "y") (g "x"))'), ("c", '(f (h "z"))'), ("e", "")]
 
 
 def trees(spark):
