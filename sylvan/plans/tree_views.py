@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sylvan.operators import aggregates, diff, history, metrics, navigation, patterns, serialize
+from sylvan.operators.lineage import cut
 from sylvan.plans.catalog import FOREST, load, query
 from sylvan.sources.trees import order_forest
 
@@ -116,7 +117,7 @@ def _pairs(spark, sf_dir):
 
 def _contents(spark, sf_dir):
     occ = order_forest(spark, sf_dir)
-    return occ.join(metrics.merkle(occ, levels=2), ["root", "pre"])
+    return cut(occ.join(metrics.merkle(occ, levels=2), ["root", "pre"]))
 
 
 _EQUAL = """same AS (SELECT pair FROM pairs JOIN cc a ON a.root = src_root JOIN cc b ON b.root = dst_root AND b.c = a.c WHERE a.height > 0),
