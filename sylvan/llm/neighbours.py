@@ -2,8 +2,9 @@
 
 Vectors are rotated, and each curve takes some of the rotated dimensions, shifts its grid
 and orders all vectors by their place on a Hilbert curve. Each ordering is cut into ranges of
-equal size; a query looks into the ranges around its own on every curve, and what it finds is
-merged and ranked by the distance of the original vectors.
+equal size; a query looks into the ranges around its own on every curve, and into all that hold
+its own cell of the grid, and what it finds is merged and ranked by the distance of the original
+vectors.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ RANGE, QUERIES = 10_000, 256
 class Curves:
     """window is the share of all vectors that a query looks at on each curve.
 
-    A window holds least_vectors at least, so a smaller table is searched whole.
+    A window holds least_vectors at least, so a smaller table is searched whole. Vectors in
+    the query's own cell are all looked at, though they be more than a window.
     """
 
     k: int = 10
@@ -147,17 +149,19 @@ def nearest(rows: DataFrame, is_query, c: Curves = Curves()) -> DataFrame:
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = on_curves.groupBy("curve").agg(F.percentile_approx("key", cuts, max(10_000, 20 * ranges)).alias("bounds"))
 
-    # Keys equal to a bound are spread over the ranges it parts by a hash of the vector.
+    # Keys equal to a bound are spread over the ranges it parts, low to high, by a hash of the
+    # vector; a query looks into all of these, as the hash says nothing of distance.
     def in_range(curve_rows: DataFrame, salt) -> DataFrame:
         joined = curve_rows.join(F.broadcast(bounds), "curve")  # one row for each curve, `ranges` numbers in it
         low = F.size(F.filter("bounds", lambda b: b < F.col("key")))
         same = F.size(F.filter("bounds", lambda b: b == F.col("key")))
-        return joined.withColumn("at", low + F.pmod(salt, same + 1).cast("int")).drop("bounds", "key")
+        return joined.withColumn("low", low).withColumn("high", low + same).withColumn("at", low + F.pmod(salt, same + 1).cast("int")).drop("bounds", "key")
 
     asked = vectors.filter(is_query).dropDuplicates(["vec_id", "embedding"])
     queries = asked.select("embedding", F.array("vec_id").alias("ids")).mapInPandas(place, "embedding array<double>, ids array<long>, curve int, key long")
     start = F.greatest(F.lit(0), F.least(F.col("at") - reach, F.lit(ranges - 1 - 2 * reach)))
-    looked = in_range(queries, F.xxhash64("embedding")).withColumn("at", F.explode(F.sequence(start, F.least(start + 2 * reach, F.lit(ranges - 1))))).withColumn("query_id", F.element_at("ids", 1)).drop("ids")
+    end = F.least(start + 2 * reach, F.lit(ranges - 1))
+    looked = in_range(queries, F.xxhash64("embedding")).withColumn("at", F.explode(F.sequence(F.least(start, "low"), F.greatest(end, "high")))).withColumn("query_id", F.element_at("ids", 1)).drop("ids")
     placed = in_range(on_curves, F.xxhash64("embedding"))
     columns = ["query_id", "vec_id", "score"]
 

@@ -131,6 +131,20 @@ def test_nearest_recall(spark):
     assert hit / 150 >= 0.9 and len(found) == 150
 
 
+def test_nearest_in_a_tight_cluster(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 16))
+    x[:1400] = x[0] + 1e-4 * x[:1400]
+    x = x[rng.permutation(4000)]
+    found = neighbours.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 40 == 0).toPandas()
+    x = x.astype(np.float32).astype(float)
+    d = np.sqrt(((x[::40, None, :] - x[None]) ** 2).sum(-1))
+    d[np.arange(100), np.arange(0, 4000, 40)] = np.inf
+    inside = np.flatnonzero((d < 0.01).sum(1) > 1000)
+    hit = sum(len(set(found[found.query_id == 40 * k].vec_id) & set(np.argsort(d[k])[:10])) for k in inside)
+    assert len(inside) > 20 and hit / (10 * len(inside)) >= 0.99
+
+
 def test_nearest_edges(spark):
     every = F.col("vec_id") >= 0
     assert neighbours.nearest(vectors(spark, []), every).count() == 0
