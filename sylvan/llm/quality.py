@@ -3,7 +3,7 @@
 Any document labelled good is preferred to any labelled bad. The score is linear in a
 document's features and learned by the logistic loss on the difference of a pair's
 features; the share of pairs decides, not the share of labels. Scores are then mapped to
-probabilities, and documents are kept by a quantile of the scores.
+probabilities, and documents are kept from the quantile at which the scores reach a ceiling.
 """
 
 from __future__ import annotations
@@ -142,25 +142,21 @@ def quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Dat
     return scored(docs, lambda texts: model.score(texts).tolist()).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-def keep_by_quality(docs: DataFrame, labels: DataFrame, share: float = 0.3, ceiling: float = 0.3, s: Settings = Settings()) -> DataFrame:
+def keep_by_quality(docs: DataFrame, labels: DataFrame, ceiling: float = 0.3, s: Settings = Settings()) -> DataFrame:
     """Rows of docs, all their columns, without those of low quality.
 
-    A document goes if its score is at most the `share` quantile of all documents' scores
-    and below `ceiling`: the quantile bounds how much can go, the ceiling keeps every clean
-    document of a corpus with less bad text than that. The quantile is Spark's approximate
-    percentile over all rows. Null and empty texts are judged like any other.
+    Every document that scores below `ceiling` goes, however large a share of the corpus that
+    is: these are the rows up to the quantile of the scores at which they reach the ceiling.
+    Null and empty texts are judged like any other.
     """
     import pyarrow as pa
 
     model = train(docs, labels, s)
-    threshold = scored(docs, lambda texts: model.score(texts).tolist()).agg(F.percentile_approx("score", share, 10_000)).first()[0]
-    if threshold is None:
-        return docs
 
     def run(batches):
         for batch in batches:
             scores = model.score([t or "" for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(~((scores <= threshold) & (scores < ceiling)), pa.bool_()))
+            yield batch.filter(pa.array(scores >= ceiling, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

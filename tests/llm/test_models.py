@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sylvan.llm import quality, rules, toxicity
 
@@ -76,6 +77,23 @@ def test_quality_ranks_and_keeps(spark):
     assert sum(i in ids for i, y in truth.items() if not y) / (len(truth) - len(good)) < 0.05
 
 
+def graded(rng):
+    share = rng.random()
+    words = [rng.choice("the of and to from with water stone river light".split()) for _ in range(40)]
+    return " ".join(w.upper() + "!!" if rng.random() < share else w for w in words), int(rng.random() > share)
+
+
+def test_quality_rejects_more_than_a_third(spark):
+    docs, labels, _ = labelled(spark, graded)
+    worst = quality.quality(docs, labels).filter("doc_id < 400").orderBy("score", "doc_id").first().doc_id
+    copies = docs.filter(F.col("doc_id") == worst).limit(1).crossJoin(spark.range(400).select("id")).withColumn("doc_id", F.col("id") + 1000).drop("id")
+    every = docs.unionByName(copies)
+    found = quality.quality(every, labels).toPandas()
+    kept = [r.doc_id for r in quality.keep_by_quality(every, labels).select("doc_id").collect()]
+    assert sorted(kept) == sorted(found[found.predicted == 1].doc_id)
+    assert 50 < (found[found.doc_id < 1000].predicted == 0).sum() < 350 and max(kept) < 1000
+
+
 def test_quality_edges(spark):
     docs, labels, _ = labelled(spark, junk, 20)
     assert set(quality.quality(docs, labels.limit(0)).toPandas().score) == {0.5}
