@@ -241,9 +241,14 @@ def edit_distance(s: Tree, d: Tree, a: int = 0, b: int = 0) -> tuple[float, list
 
 
 def recover(s: Tree, d: Tree, m: Mapping, a: int, b: int, how: str, limit: int) -> None:
-    """Links more nodes inside a linked pair: by edit distance, or children by equality and type."""
-    if how == "zs":
-        if min(s.size[a], d.size[b]) < limit and max(s.size[a], d.size[b]) < 4 * limit:
+    """Links more nodes inside a linked pair: by edit distance, or children by equality and type.
+
+    Edit distance (zs) runs if either side has fewer than limit nodes, else nothing is linked;
+    hybrid uses it if both have, else children by equality and type.
+    """
+    below = [n < limit for n in (s.size[a], d.size[b])]
+    if how == "zs" or how == "hybrid" and all(below):
+        if any(below):
             for x, y in edit_distance(s, d, a, b)[1]:
                 if s.type[x] == d.type[y]:
                     m.link_if_free(x, y)
@@ -256,7 +261,7 @@ def recover(s: Tree, d: Tree, m: Mapping, a: int, b: int, how: str, limit: int)
                 for k in range(s.size[xs[i]]):
                     m.link_if_free(xs[i] + k, ys[j] + k)
             elif m.link_if_free(xs[i], ys[j]):
-                recover(s, d, m, xs[i], ys[j], how, limit)
+                recover(s, d, m, xs[i], ys[j], "simple", limit)
     by_type: dict[str, tuple[list, list]] = {}
     for x in free(s, m.src, a):
         by_type.setdefault(s.type[x], ([], []))[0].append(x)
@@ -264,7 +269,7 @@ def recover(s: Tree, d: Tree, m: Mapping, a: int, b: int, how: str, limit: int)
         by_type.setdefault(d.type[y], ([], []))[1].append(y)
     for xs, ys in by_type.values():
         if len(xs) == len(ys) == 1 and m.link_if_free(xs[0], ys[0]):
-            recover(s, d, m, xs[0], ys[0], how, limit)
+            recover(s, d, m, xs[0], ys[0], "simple", limit)
 
 
 @dataclass(frozen=True)
@@ -285,7 +290,7 @@ GREEDY = Matcher(limit=1000)
 GREEDY_100 = Matcher()
 STABLE = Matcher(kind="chawathe", limit=300, stable=True)
 SIMPLE = Matcher(kind="chawathe", recovery="simple")
-HYBRID = Matcher(kind="chawathe", threshold=None)
+HYBRID = Matcher(kind="chawathe", threshold=None, recovery="hybrid")
 XY = Matcher(kind="jaccard", recovery="simple")
 
 

@@ -39,6 +39,25 @@ def test_equal_trees_need_nothing():
     assert script(BASE, BASE, "greedy")[2] == []
 
 
+def renamed(others):
+    """A root with one relabelled leaf beside `others` new leaves of another type."""
+    side = lambda label, more: ("r", None, [("m", None, [leaf("x", label)])] + more)
+    return Tree.nested(side("abcd", [])), Tree.nested(side("abce", [leaf("y", str(i)) for i in range(others)]))
+
+
+@pytest.mark.parametrize("algorithm, others", [("greedy_100", 500), ("greedy", 4100), ("stable", 1300)])
+def test_edit_distance_runs_if_either_side_is_small(algorithm, others):
+    s, d = renamed(others)
+    assert diff.match(s, d, algorithm).src == {0: 0, 1: 1, 2: 2}
+
+
+def test_hybrid_recovers_above_its_limit():
+    side = lambda label: ("r", None, [("m", None, [leaf("x", label)])] + [("n", None, [leaf("z", label + str(i)) for i in range(150)])])
+    for s, d in [renamed(500), (Tree.nested(side("p")), Tree.nested(side("q")))]:
+        m = diff.match(s, d, "hybrid")
+        assert m.src[1] == 1 and m.src[2] == 2
+
+
 trees = st.recursive(
     st.tuples(st.sampled_from("xyz"), st.sampled_from([None, "p", "quu", "quv"]), st.just([])),
     lambda kids: st.tuples(st.sampled_from("xyz"), st.sampled_from([None, "p"]), st.lists(kids, max_size=4)),
