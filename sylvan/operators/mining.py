@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,10 +65,10 @@ def generalisations(query: str) -> list[tuple[str, str]]:
 _STEP = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("query", T.StringType())]))
 
 
-def lattice(examples: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+def lattice(examples: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes(query, level), edges(src, dst, kind)) from examples(example, query).
 
-    Each round generalises the distinct queries of the round before by one step; equal
+    Without rounds it goes on until no new query is left to generalise. Each round generalises the distinct queries of the round before by one step; equal
     queries from different examples meet by a distinct, so work is shared between examples.
     """
 
@@ -76,20 +78,28 @@ def lattice(examples: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
 
     now = examples.select("query").distinct().withColumn("level", F.lit(0))
     nodes, edges = now, None
-    for i in range(1, rounds + 1):
+    for i in count(1) if rounds is None else range(1, rounds + 1):
         made = now.select(F.col("query").alias("src"), F.explode(step("query")).alias("g")).select("src", F.col("g.query").alias("dst"), F.col("g.kind").alias("kind")).distinct()
         edges = made if edges is None else edges.unionByName(made)
         now = cut(made.select(F.col("dst").alias("query")).distinct().join(nodes.select("query"), "query", "left_anti").withColumn("level", F.lit(i)))
+        if rounds is None and now.isEmpty():
+            break
         nodes = nodes.unionByName(now)
     return nodes, edges
 
 
-def support(examples: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(query, examples): how many examples each query of the lattice covers."""
-    covers = examples.select("example", "query").distinct()
-    for _ in range(rounds):
-        up = covers.join(edges, F.col("query") == F.col("src")).select("example", F.col("dst").alias("query"))
-        covers = covers.unionByName(up).distinct()
+def support(examples: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(query, examples): how many examples each query of the lattice covers.
+
+    Without rounds examples are handed up until none reaches a new query.
+    """
+    covers = new = examples.select("example", "query").distinct()
+    for _ in count() if rounds is None else range(rounds):
+        up = new.join(edges, F.col("query") == F.col("src")).select("example", F.col("dst").alias("query")).distinct()
+        new = cut(up.join(covers, ["example", "query"], "left_anti"))
+        if rounds is None and new.isEmpty():
+            break
+        covers = covers.unionByName(new)
     return nodes.join(covers.groupBy("query").agg(F.countDistinct("example").alias("examples")), "query")
 
 

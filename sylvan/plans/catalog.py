@@ -356,8 +356,8 @@ def mined_queries(spark, sf_dir):
     """Generalised queries over the shapes of event properties, with the examples they cover."""
     props = load(spark, sf_dir, "events").select("props").distinct()
     shaped = props.mapInPandas(_shapes, "example string, query string")
-    nodes, edges = mining.lattice(shaped, 2)
-    return mining.support(shaped, nodes, edges, 2)
+    nodes, edges = mining.lattice(shaped)
+    return mining.support(shaped, nodes, edges)
 
 
 def _shapes(frames):

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sylvan.operators import history, mining, references
@@ -46,6 +47,25 @@ def test_references(spark):
     assert len(relations["a"]) == 2 and relations["a"][0].refs
 
 
+def test_mined_queries_reach_the_most_general(spark, tmp_path):
+    from sylvan.plans.catalog import _shapes, mined_queries
+
+    texts = ['{"a": 1, "b": [1, {"c": 2}], "d": {"e": 3}}', '{"a": 1}']
+    spark.createDataFrame([(t,) for t in texts], "props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.query: r.examples for r in mined_queries(spark, str(tmp_path)).collect()}
+    want = {}
+    for query in next(_shapes([pd.DataFrame({"props": texts})]))["query"]:
+        seen, todo = {query}, [query]
+        while todo:
+            for _, q in mining.generalisations(todo.pop()):
+                if q not in seen:
+                    seen.add(q)
+                    todo.append(q)
+        for q in seen:
+            want[q] = want.get(q, 0) + 1
+    assert found == want and min(map(len, found)) < 12
+
+
 def test_lattice(spark):
     examples = spark.createDataFrame([(1, "(a (b) (c))"), (2, "(a (b) (d))")], "example int, query string")
     nodes, edges = mining.lattice(examples, 2)
