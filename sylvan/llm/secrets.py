@@ -29,6 +29,14 @@ RULES = [
     ("url", r"://[^\s:/@]{1,64}:[^\s:/@]{3,64}@", 0, 1),
 ]
 BASE = ("assign", "access", "hex")
+#: Rules whose whole extent is replaced: a key to its END line or, without one, the end of its
+#: base64 lines; user and password of any length. Possessive, so work is linear and the stack flat.
+WHOLE = {
+    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:[\r\n]++[A-Za-z0-9+/]{1,15}+={0,2}(?![^\r\n]))?)",
+    "url": r"://[^\s:/@]++:[^\s:/@]{3,}+@",
+}
+REDACTION = [(kind, WHOLE.get(kind, pattern), group, least) for kind, pattern, group, least in RULES]
 SPAN = "array<struct<start:int,kind_no:int,end:int>>"
 
 
@@ -117,7 +125,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced and n_chars counted again; same columns and rows."""
-    found = with_findings(docs, scan(docs), name="__found")
+    found = with_findings(docs, scan(docs, rules=REDACTION), rules=REDACTION, name="__found")
     dirty = F.size("__found") > 0
     out = found.withColumn("text", F.when(dirty, redacted(F.col("text"), F.col("__found"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

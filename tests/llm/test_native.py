@@ -115,6 +115,21 @@ def test_redaction(spark):
     assert all(not r.spans for r in again.collect())
 
 
+def test_redaction_takes_whole_keys_and_long_passwords(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(["MIIEowIBAAKCAQEA" + "Xy9/" * 12] * 20000) + "\nQq7w=="
+    texts = [
+        (f"a\n{begin}\n{body}\n{end}\nb c", "a\n[SECRET]\nb c"),
+        (f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}\n{end} b", "[SECRET] b"),
+        (f"{begin}\\n{body[:64]}\\n{end}", "[SECRET]"),
+        (f"{begin}\n{body}\n\nplain words, then", "[SECRET]\n\nplain words, then"),
+        (f"see {begin} for a key, {begin}\n{body}\n{end}.", "see [SECRET] for a key, [SECRET]."),
+        (f"db://{'u' * 90}:{'p' * 200}@host", "db[SECRET]host"),
+    ]
+    found = secrets.redact_documents(documents(spark, [(i, t) for i, (t, _) in enumerate(texts)]))
+    assert {r.doc_id: r.text for r in found.collect()} == {i: t for i, (_, t) in enumerate(texts)}
+
+
 def test_bounds_are_optimal():
     rng = random.Random(1)
     for _ in range(150):
