@@ -112,23 +112,67 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
-def test_nearest_recall(spark):
+def test_nearest_odd_rows(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     x[700:760] = x[3]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(9000, None), (9100, [0.0] * 16), (9200, [float("nan")] * 16), (9300, [None] * 16), (9400, [1.0]), (9500, [float("inf")] * 16), (None, [1.0] * 16), (5, x[5].tolist())]
-    df = vectors(spark, rows + odd).withColumn("key", F.lit("no")).withColumn("at", F.lit(1))
+    df = vectors(spark, rows + odd).withColumn("key", F.lit("no")).withColumn("at", F.lit(1)).withColumn("curve", F.lit(2))
     found = neighbours.nearest(df, F.col("vec_id") % 100 == 0).toPandas()
     d = np.sqrt(((x[:, None, :].astype(float)[::100] - x[None].astype(float)) ** 2).sum(-1))
-    hit = 0
     for k, q in enumerate(range(0, 1500, 100)):
         d[k, q] = np.inf
         own = found[found.query_id == q].sort_values("rank")
         assert own["rank"].tolist() == list(range(1, 11))
         assert np.allclose(own.score, d[k, own.vec_id]) and own.score.is_monotonic_increasing
-        hit += len(set(own.vec_id) & set(np.lexsort((np.arange(1500), d[k]))[:10]))
-    assert hit / 150 >= 0.9 and len(found) == 150
+    assert len(found) == 150
+
+
+@pytest.mark.parametrize("n", [500, 4000])
+def test_nearest_recall_at_default_settings(spark, n):
+    """Vectors without any structure, the hardest case, at the shipped window."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    found = neighbours.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 50 == 0).toPandas()
+    x = x.astype(float)
+    hit = 0
+    for q in range(0, n, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(found[found.query_id == q].vec_id) & set(np.argsort(d)[:10]))
+    assert hit / (10 * len(range(0, n, 50))) >= 0.9
+
+
+def test_windows_shrink_as_the_table_grows():
+    c = neighbours.Curves()
+    work = []
+    for n in (10**4, 10**5, 10**6, 10**9):
+        ranges, reach = c.ranges(n)
+        work.append(c.curves * (2 * reach + 1) / ranges)
+        assert n / ranges <= max(neighbours.RANGE, n / neighbours.MAX_RANGES) + 1 and abs((2 * reach + 1) / ranges / c.window(n) - 1) < 0.1
+    assert work == sorted(work, reverse=True) and work[1] < 1 and work[2] < 0.5
+    assert c.ranges(3) == (1, 0) and c.ranges(0) == (1, 0)
+
+
+def test_nearest_ties_and_offsets(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8))
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    x[0] = 0
+    ring = np.round(x[1:] * 0)  # all others at one exact distance of the first: unit steps in one of 8 dimensions
+    ring[np.arange(2999), np.arange(2999) % 8] = np.where(np.arange(2999) % 16 < 8, 1.0, -1.0)
+    ring = np.concatenate([np.zeros((1, 8)), ring]) + 4.0
+    ring = np.concatenate([ring, np.ones((3000, 1)) * np.arange(3000)[:, None] % 7], axis=1)
+    ring[:, 8] = np.where(np.arange(3000) == 0, 0, np.sqrt(2.0))
+    found = neighbours.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(ring)]), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 11)) and len({r.score for r in found}) == 1
+    base = rng.normal(size=(400, 6)) + 1e7
+    doubles = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(doubles, F.col("vec_id") == 0, neighbours.Curves(scale=10.0)).orderBy("rank").collect()
+    d = np.sqrt(((base - base[0]) ** 2).sum(1))
+    d[0] = np.inf
+    assert [r.vec_id for r in found] == np.argsort(d)[:10].tolist()
 
 
 def test_nearest_in_a_tight_cluster(spark):
