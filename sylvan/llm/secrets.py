@@ -22,22 +22,24 @@ RULES = [
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("bearer", r"[Bb]earer\x20+[A-Za-z0-9+/_.=-]{20,}", 0, 1),
-    ("url", r"://[^\s:/@]{1,64}:[^\s:/@]{3,64}@", 0, 1),
+    ("url", r"://[^\s:/@]+:[^\s:/@]{3,}@", 0, 1),
 ]
 BASE = ("assign", "access", "hex")
 #: Rules whose whole extent is replaced: a key to its END line or, without one, the end of its
 #: base64 lines; user and password of any length. Possessive, so work is linear and the stack flat.
 WHOLE = {
-    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
     r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:[\r\n]++[A-Za-z0-9+/]{1,15}+={0,2}(?![^\r\n]))?)",
     "url": r"://[^\s:/@]++:[^\s:/@]{3,}+@",
 }
 REDACTION = [(kind, WHOLE.get(kind, pattern), group, least) for kind, pattern, group, least in RULES]
 SPAN = "array<struct<start:int,kind_no:int,end:int>>"
+#: Lengths summed in one fold, and spans of a text beyond which it is cut by its characters.
+BLOCK, FEW = 256, 64
 
 
 def rules_version(rules=None) -> str:
@@ -45,6 +47,24 @@ def rules_version(rules=None) -> str:
     return hashlib.sha256(repr(RULES if rules is None else rules).encode()).hexdigest()[:16]
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once; an expression outside a lambda is evaluated for each element within."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(lengths: Column) -> Column:
+    """Running sums of an array of integers: [l1, l1 + l2, ...].
+
+    Summed in blocks, so that work stays near linear: a fold copies what it has gathered at
+    each step, here a block's sums or the blocks' totals.
+    """
+    fold = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    inside = lambda blocks, offsets: F.transform(blocks, lambda b, i: let(F.get(offsets, i), lambda o: F.transform(F.slice(fold(b), 2, BLOCK), lambda x: x + o)))
+    whole = lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x)
+    split = lambda xs: F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(BLOCK)), lambda i: F.slice(xs, i, F.lit(BLOCK)))
+    return F.flatten(let(split(lengths), lambda blocks: let(fold(F.transform(blocks, whole)), lambda offsets: inside(blocks, offsets))))
+
+
 def rule_spans(text: Column, kind_no: int, pattern: str, group: int, least: int) -> Column:
     """Spans (start, kind number, end in code points, end exclusive) of one rule's matches.
 
@@ -53,14 +73,13 @@ def rule_spans(text: Column, kind_no: int, pattern: str, group: int, least: int)
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = matches if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.arrays_zip(matches.alias("m"), groups.alias("g"), F.split(text, pattern, -1).alias("p"))
-    step = lambda acc, x: F.struct(
-        (acc.at + F.length(x.p) + F.coalesce(F.length(x.m), F.lit(0))).alias("at"),
-        F.when(F.length(x.g) >= least, F.array_append(acc.spans, F.struct((acc.at + F.length(x.p)).alias("start"), F.lit(kind_no).alias("kind_no"), (acc.at + F.length(x.p) + F.length(x.m)).alias("end")))).otherwise(acc.spans).alias("spans"),
+    pairs = F.transform(
+        F.arrays_zip(F.split(text, pattern, -1).alias("p"), matches.alias("m"), groups.alias("g")),
+        lambda x: F.struct((F.length(x.p) + F.coalesce(F.length(x.m), F.lit(0))).alias("step"), F.length(x.m).alias("m"), (F.length(x.g) >= least).alias("fits")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    found = F.aggregate(pairs, start, step, lambda acc: acc.spans)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    ended = let(pairs, lambda ps: F.zip_with(ps, running(F.transform(ps, lambda x: x.step)), lambda x, end: F.struct((end - x.m).alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), x.fits.alias("fits"))))
+    found = F.transform(F.filter(ended, lambda x: x.fits), lambda x: F.struct(x.start.alias("start"), x.kind_no.alias("kind_no"), x.end.alias("end")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array()).cast(SPAN)
 
 
 def all_spans(text: Column, rules=None) -> Column:
@@ -114,13 +133,19 @@ def span_text(spans: Column, rules=None) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every stretch covered by spans replaced by mark; overlapping spans are one."""
+    """text with every stretch covered by spans replaced by mark; overlapping spans are one.
+
+    A text with more than FEW spans is split into its characters once, as finding a place in
+    a text takes a walk from its beginning.
+    """
     step = lambda acc, s: F.when(
-        s.start >= acc.at,
-        F.struct(F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit(mark)).alias("out"), s.end.alias("at")),
-    ).otherwise(F.struct(acc.out.alias("out"), F.greatest(acc.at, s.end).alias("at")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, 2**31 - 1)))
+        s.start >= acc.at, F.struct(F.array_append(acc.gaps, F.struct(acc.at.alias("a"), s.start.alias("b"))).alias("gaps"), s.end.alias("at"))
+    ).otherwise(F.struct(acc.gaps.alias("gaps"), F.greatest(acc.at, s.end).alias("at")))
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("gaps"), F.lit(0).alias("at"))
+    gaps = F.aggregate(spans, start, step, lambda acc: F.array_append(acc.gaps, F.struct(acc.at.alias("a"), F.lit(2**31 - 1).alias("b"))))
+    by_place = F.transform(gaps, lambda g: F.substring(text, g.a + 1, g.b - g.a))
+    by_chars = let(F.split(text, ""), lambda chars: F.transform(gaps, lambda g: F.array_join(F.slice(chars, g.a + 1, F.greatest(F.lit(0), F.least(g.b, F.size(chars)) - g.a)), "")))
+    return F.array_join(F.when(F.size(spans) > FEW, by_chars).otherwise(by_place), mark)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
