@@ -27,15 +27,26 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and continues from there.
+def shared_folder(spark) -> str:
+    """The folder all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where
-    none is configured, as in a local run.
+    Where none is configured it lies in the warehouse, which a cluster shares too; only a
+    local session, whose executors are this process, gets a temporary one.
     """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if sc.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="checkpoints-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and continues from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, None)
     conf.set(key, "true")
@@ -46,6 +57,11 @@ def cut(df: DataFrame) -> DataFrame:
         conf.unset(key) if before is None else conf.set(key, before)
 
 
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A fixed pseudo-random order of documents, 32 hex digits; only equal ids with equal texts share one."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def shuffle_key(doc_id: Column) -> Column:
     """A fixed pseudo-random order of documents: 32 hex digits."""
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import cut, key_bin, shuffle_key, table, word_count
+from sylvan.llm.common import cut, key_bin, table, text_key, word_count
 
 #: Documents that one window task numbers, about.
 ROWS_PER_BIN = 5_000
@@ -83,16 +83,19 @@ def pack(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
     batches of a bucket and slot the places in one, from 0, in a fixed shuffled order. Longer
     documents than the budget share one last bucket, each a batch of its own, unpadded. Null
     and empty texts have nothing to pack: bucket 0, no batch. Repeated rows are packed as
-    often as they occur. An empty table gives no rows.
+    often as they occur, side by side: they are counted before anything is sorted, so no id
+    (or lack of one), however common, fills a window. Other columns are ignored. An empty
+    table gives no rows.
     """
-    rows = cut(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")))
-    histogram = rows.filter(F.col("n_tokens").between(1, p.budget)).groupBy("n_tokens").count().orderBy("n_tokens").collect()
+    every = docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"), text_key(F.col("doc_id"), F.col("text")).alias("key"))
+    rows = cut(every.groupBy("doc_id", "n_tokens", "key").agg(F.count("*").alias("times")))
+    histogram = rows.filter(F.col("n_tokens").between(1, p.budget)).groupBy("n_tokens").agg(F.sum("times")).orderBy("n_tokens").collect()
     bounds = best_bounds([r[0] for r in histogram], [r[1] for r in histogram], p.buckets)
     limits = F.array(*map(F.lit, bounds)).cast("array<long>")
     place = F.size(F.filter(limits, lambda b: b < F.col("n_tokens"))) + 1
     bucket = F.when(F.col("n_tokens") == 0, 0).otherwise(place)
     pad_to = F.when(F.col("n_tokens") == 0, F.lit(0).cast("long")).otherwise(F.coalesce(F.get(limits, F.col("bucket") - 1), F.col("n_tokens")))
-    rows = rows.withColumn("bucket", bucket).withColumn("pad_to", pad_to).withColumn("key", shuffle_key(F.col("doc_id")))
+    rows = rows.withColumn("bucket", bucket).withColumn("pad_to", pad_to)
 
     # Numbers within a bucket: whole bins are counted, rows are numbered within a bin.
     sizes = [0] * (len(bounds) + 2)
@@ -101,16 +104,18 @@ def pack(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
     largest = max([*sizes, rows.filter(F.col("n_tokens") > p.budget).count(), 1])
     rows = rows.withColumn("bin", F.when(F.col("bucket") > 0, key_bin(F.col("key"), -(-largest // ROWS_PER_BIN))))
     full = rows.filter("bucket > 0")
-    counts = full.groupBy("bucket", "bin").agg(F.count("*").alias("in_bin"))
+    counts = full.groupBy("bucket", "bin").agg(F.sum("times").alias("in_bin"))
     earlier = Window.partitionBy("bucket").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "bin", F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket", "bin").orderBy("key", "doc_id", "n_tokens")
-    number = F.col("offset") + F.row_number().over(within) - 1
+    within = Window.partitionBy("bucket", "bin").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("offset") + F.sum("times").over(within)
     capacity = F.greatest(F.lit(1), F.floor(F.lit(p.budget) / F.col("pad_to")))
-    packed = full.join(offsets, ["bucket", "bin"]).withColumn("number", number)
+    packed = full.join(offsets, ["bucket", "bin"]).withColumn("last", last)
+    packed = packed.withColumn("number", F.explode(F.sequence(F.col("last") - F.col("times"), F.col("last") - 1)))
     packed = packed.select("doc_id", "n_tokens", "bucket", "pad_to", F.floor(F.col("number") / capacity).alias("batch"), (F.col("number") % capacity).alias("slot"))
     nothing = F.lit(None).cast("long")
-    return packed.union(rows.filter("bucket = 0").select("doc_id", "n_tokens", "bucket", "pad_to", nothing.alias("batch"), nothing.alias("slot")))
+    empty = rows.filter("bucket = 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return packed.union(empty.select("doc_id", "n_tokens", "bucket", "pad_to", nothing.alias("batch"), nothing.alias("slot")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

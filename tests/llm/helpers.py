@@ -28,5 +28,14 @@ def same(ours, theirs):
     """Whether two pandas frames hold the same rows."""
     names = sorted(ours.columns)
     assert names == sorted(theirs.columns)
-    plain = lambda f: sorted((tuple(None if v is None or v != v else (round(float(v), 9) if isinstance(v, float) else v) for v in r) for r in f[names].astype(object).itertuples(index=False)), key=str)
+    import numbers
+
+    import pandas as pd
+
+    def value(v):
+        if pd.isna(v):
+            return None
+        return round(float(v), 9) if isinstance(v, numbers.Number) and not isinstance(v, bool) else v
+
+    plain = lambda f: sorted((tuple(value(v) for v in r) for r in f[names].astype(object).itertuples(index=False)), key=str)
     assert plain(ours) == plain(theirs)

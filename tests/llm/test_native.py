@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from sylvan.llm import mixing, packing, secrets, urls
 
 from .helpers import documents, duck, same
@@ -22,8 +24,6 @@ def corpus(n=60):
 
 
 def test_urls_match_sql(spark):
-    from pyspark.sql import functions as F
-
     hosts = ["a.com", "B.example.com", "www.example.com", "x.net", "y.x.net", "z.org", "q.org"]
     rows = [(i, f"https://{hosts[i % 7]}/{['en', 'es', 'fr', 'shop/item'][i % 4]}/{i}{['', '?q=1', '#t', '/', '.html'][i % 5]}", "<p>") for i in range(200)]
     rows += [(300, None, None), (301, "no scheme", ""), (302, "http://com/", ""), (303, "http://net", ""), (304, "x://h?://y/en/", ""), (0, rows[0][1], "")]
@@ -36,12 +36,42 @@ def test_urls_match_sql(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_tree_merges_level_by_level(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    authors = [a + b for a in letters[:10] for b in letters[:7]]
+    rows = [f"http://s{k}.net/{rng.choice(['es', 'fr'])}/{a}/{rng.choice('pq')}{i}" for k in range(25) for a in authors for i in range(rng.choice([2, 4]))]
+    rows += [f"http://u.org/{rng.choice(['es', 'fr'])}/{a}/{rng.choice(authors)}" for a in authors for _ in range(2)]
+    rows += [f"http://m{rng.randint(1, 3)}.example.com/{rng.choice(['en', 'de', 'pt'])}/{rng.choice(authors[:3])}/{rng.choice(authors[:3])}" for _ in range(400)]
+    rows += ["http://deep.org/" + "/".join("ab" * 400), "http://deep.net/es/" + "/".join("xy" * 10), "http://u.org/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
+    found = urls.filter_urls(df).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity")).toPandas()
+    same(found, duck(urls.SQL, pages=df.toArrow()))
+    below = found[found.host == "s0.net"].template
+    assert below.str.contains(r"/\*/\*$").any(), "segments below merged authors merge too"
+    assert (found.rule.isna() & (found.verdict == "block")).any() and found.purity.nunique() > 4
+    assert found[found.host == "deep.org"].template.str.count("/").item() == 800
+
+
 def test_mixing_matches_sql(spark):
-    rows = [r for r in corpus() if r[0] != 7] + [(7, "x", "en", "a", 1)]
+    rows = corpus() + [(7, "x", "en", "a", 1)] + [(None, "same same", "en", "b", 3)] * 40 + [(8, "the of", "en", "c", 3)] * 25 + [(9, "w " * 3000, "en", "c", 3)]
     df = documents(spark, rows)
     found = mixing.mix_sources(df).select("doc_id", "size", "source_size", "target", "taken").toPandas()
-    same(found[found.doc_id.notna()], duck(mixing.SQL, documents=df.toArrow()).query("doc_id == doc_id"))
-    assert (found.taken <= 3 * found["size"]).all()
+    same(found, duck(mixing.SQL, documents=df.toArrow()))
+    assert (found.taken <= 3 * found["size"]).all() and len(found) == len(rows)
+
+
+def test_repeated_rows_are_counted_before_they_are_sorted(spark, monkeypatch):
+    rows = [(None, "a b c", "en", "s", 5)] * 300 + [(1, "a b", "en", "s", 3)] * 200 + [(i, "w " * (i % 9), "en", "t", 1) for i in range(2, 60)]
+    df = documents(spark, rows)
+    monkeypatch.setattr(mixing, "ROWS_PER_BIN", 7)
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    monkeypatch.setattr(packing, "ROWS_PER_BIN", 7)
+    found = mixing.mix_sources(df).select("doc_id", "size", "source_size", "target", "taken").toPandas()
+    same(found, duck(mixing.SQL, documents=df.toArrow()))
+    packed = packing.pack(df, packing.Packing(buckets=3, budget=16)).toPandas()
+    assert len(packed) == len(rows) and not packed[packed.n_tokens > 0].duplicated(["bucket", "batch", "slot"]).any()
+    assert (packed[packed.doc_id.isna()].n_tokens == 3).sum() == 300
 
 
 def test_mixing_edges(spark):
@@ -91,6 +121,17 @@ def test_secrets_match_sql(spark):
     same(ours, duck(secrets.SQL, documents=plain.toArrow()))
 
 
+def test_many_and_long_secrets(spark):
+    many = " ".join(f"token=abcdefgh{i:04d}" for i in range(3000)) + " é" * 20000
+    long = f"x://{'u' * 200}:{'p' * 300}@h -----BEGIN {'A' * 60} PRIVATE KEY----- " + "word " * 30000
+    df = documents(spark, [(1, many), (2, long), (3, None)])
+    found = {r.doc_id: r.spans for r in secrets.scan_documents(df)[0].collect()}
+    assert [(s.start, s.end) for s in found[1]] == [(19 * i, 19 * i + 18) for i in range(3000)]
+    assert [s.kind_no for s in found[2]] == [7, 3] and found[2][0].end == 1 + 3 + 200 + 1 + 300 + 1 and found[3] == []
+    clean = {r.doc_id: r.text for r in secrets.redact_documents(df).collect()}
+    assert clean[1] == " ".join(["[SECRET]"] * 3000) + " é" * 20000 and clean[2].startswith("x[SECRET]h [SECRET] word ")
+
+
 def test_ledger_scans_unseen_blobs_only(spark):
     first = documents(spark, [(1, SECRET[0]), (2, "clean"), (3, SECRET[0])])
     _, ledger = secrets.scan_documents(first)

@@ -64,6 +64,6 @@ def test_run(spark, folder):
 
 def test_registry():
     names = list(registry.queries())
-    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted(f"op{i}" for i in range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
     assert os.path.exists(corpus_pipeline.__file__)
