@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from sylvan.llm import chat, jaccard, mixing, neighbours, packing, quality, rules, secrets, toxicity, urls
 
 
@@ -19,7 +18,6 @@ def queries() -> dict:
         "op8_nearest_vectors": neighbours.query,
         "op9_quality_rules": rules.query,
         "op10_chat_format": chat.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -13,12 +13,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     """(doc_id, text, label) of at most `limit` labelled documents outside the held-out fold.
 
     The sample is the first `limit` labelled ids in a fixed shuffled order, so reruns agree;
-    a doc_id labelled more than once counts as labelled 1 if any row says so. Null ids and
+    a doc_id labelled more than once counts as labelled 1 if any row says so, and of texts
+    that share a doc_id the least is taken, so that `limit` bounds the rows too. Null ids and
     null labels are left out. The ids, two numbers each, are the only thing broadcast.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0))
     ids = known.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label")).orderBy(shuffle_key(F.col("doc_id"))).limit(limit)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def in_order(rows) -> list:
