@@ -135,8 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
 def quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.3) of every row of docs(doc_id, text).
 
-    Only texts enter a score. Null text is scored as empty text. Repeated rows get the same
-    score, each returned.
+    Only texts enter a score, whole texts however long. Null text is scored as empty text.
+    Repeated rows get the same score, each returned; ties in score are left as they are. An
+    empty labels table gives scores of 0.5, an empty docs table no rows; other columns are
+    ignored.
     """
     model = train(docs, labels, s)
     return scored(docs, lambda texts: model.score(texts).tolist()).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -147,7 +149,8 @@ def keep_by_quality(docs: DataFrame, labels: DataFrame, ceiling: float = 0.3, s:
 
     Every document that scores below `ceiling` goes, however large a share of the corpus that
     is: these are the rows up to the quantile of the scores at which they reach the ceiling.
-    Null and empty texts are judged like any other.
+    Null and empty texts are judged like any other, repeated rows alike, and an empty table
+    gives no rows. Columns of any name pass through.
     """
     import pyarrow as pa
 

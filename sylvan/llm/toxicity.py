@@ -29,13 +29,17 @@ class Settings:
     """sample bounds the labelled documents used; terms bounds the model's size.
 
     A term is kept if `least` sampled documents hold it and its count among positive ones
-    is `screen` standard deviations from expectation.
+    is `screen` standard deviations from expectation, in all sampled documents or in those
+    that hold a term of which positives have too many: a term that matters only in company,
+    such as a group mention, is as common in clean texts at large. Pairs have `pairs` of the
+    places at most.
     """
 
     sample: int = 6000
     terms: int = 4096
     least: int = 4
     screen: float = 4.0
+    pairs: int = 1024
     factors: int = 4
     epochs: int = 10
     batch: int = 128
@@ -120,12 +124,27 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: S
     lengths = np.array([len(ids) for ids, _ in documents])
     ids = np.concatenate([ids for ids, _ in documents])
     values = np.log2(1 + np.concatenate([c for _, c in documents]))
-    rate = labels.mean()
-    held = np.bincount(ids, minlength=1 << BITS)
-    apart = np.abs(np.bincount(ids, np.repeat(labels, lengths), minlength=1 << BITS) - held * rate) / np.sqrt(np.maximum(held, 1) * rate * (1 - rate))
-    apart[held < s.least] = 0
-    chosen = np.lexsort((np.arange(len(apart)), -apart))[: s.terms]
-    chosen = np.sort(chosen[apart[chosen] >= s.screen])
+    owner_of = np.repeat(np.arange(n), lengths)
+
+    def deviation(documents: np.ndarray) -> np.ndarray:
+        """How far each term's count among positives is from expectation, in some documents."""
+        mine = documents[owner_of]
+        held = np.bincount(ids[mine], minlength=1 << BITS)
+        share = labels[documents].mean() if documents.any() else 0.0
+        apart = np.bincount(ids[mine], labels[owner_of[mine]], minlength=1 << BITS) - held * share
+        apart /= np.sqrt(np.maximum(held, 1) * max(share * (1 - share), 1e-9))
+        apart[held < s.least] = 0
+        return apart
+
+    def best(apart: np.ndarray, most: int) -> np.ndarray:
+        chosen = np.lexsort((np.arange(len(apart)), -np.abs(apart)))[:most]
+        return chosen[np.abs(apart[chosen]) >= s.screen]
+
+    alone = deviation(np.ones(n, bool))
+    chosen = best(alone, s.terms - s.pairs)
+    marks = chosen[alone[chosen] > 0]
+    with_mark = np.bincount(owner_of[np.isin(ids, marks)], minlength=n) > 0
+    chosen = np.union1d(chosen, best(deviation(with_mark), s.pairs))
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
 

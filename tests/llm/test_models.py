@@ -48,6 +48,85 @@ def test_factorization_machine_learns_a_pair(spark):
     assert (held.predicted == held.doc_id.map(truth)).mean() > 0.9
 
 
+def test_machine_matches_naive_pair_sums(spark):
+    """Query scores against the definition, pair by pair, from the same fitted machine."""
+    docs, labels, _ = labelled(spark, insult, 150)
+    s = toxicity.Settings(screen=0.5, epochs=5, least=2)
+    m = toxicity.train(docs, labels, s)
+    found = toxicity.toxicity(docs, labels, s).toPandas()
+    texts = {(r.doc_id): r.text or "" for r in docs.collect()}
+    assert len(m.place) > 2
+    for r in found.itertuples():
+        counts = {}
+        for w in toxicity.words_of(texts[r.doc_id]):
+            for t in toxicity.terms_of(w):
+                if t in m.place:
+                    counts[m.place[t]] = counts.get(m.place[t], 0) + 1
+        x = {k: np.log2(1 + c) for k, c in counts.items()}
+        raw = m.bias + sum(m.weights[k] * v for k, v in x.items())
+        for i in x:
+            for j in x:
+                if i < j:
+                    raw += x[i] * x[j] * sum(m.factors[i][f] * m.factors[j][f] for f in range(s.factors))
+        assert abs(r.score - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_screen_keeps_terms_that_matter_in_company():
+    """`b` is as common among positives as among others; only together with `a` it tells them apart."""
+    rng = np.random.default_rng(5)
+    documents, labels = [], []
+    for i in range(2000):
+        label = i % 4 == 0
+        a = label or rng.random() < 0.3
+        b = rng.random() < 0.5 if not a else (rng.random() < (0.5 if label else 0.1))
+        ids = [1] * a + [2] * b + list(10 + rng.choice(50, 5, replace=False))
+        documents.append((np.array(ids, np.int32), np.ones(len(ids), np.int32)))
+        labels.append(label)
+    labels = np.array(labels, float)
+    s = toxicity.Settings(least=2)
+    assert {1, 2} <= set(toxicity.fit(documents, labels, s).place)
+
+
+def test_ranker_matches_a_plain_fit(spark):
+    """Query scores from the definition, and the fit against descent over all pairs at once."""
+    docs, labels, truth = labelled(spark, graded, 2000)
+    model = quality.train(docs, labels)
+    found = quality.quality(docs, labels).toPandas()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in found.head(300).itertuples():
+        strength = 0.0
+        for k, v in enumerate(quality.features(texts[r.doc_id])):
+            z = min(5.0, max(-5.0, (v - model.mean[k]) / model.spread[k]))
+            n = quality.N_FEATURES
+            strength += model.weights[k] * z + model.weights[n + k] * min(z, 0) ** 2 + model.weights[2 * n + k] * max(z, 0) ** 2 + model.weights[3 * n + k] * (z > 1)
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * strength + model.offset)))) < 1e-9
+    sides = {}
+    for fold in (True, False):
+        of = [i for i in truth if (zlib.crc32(str(i).encode()) % 5 == 0) == fold]
+        x, y = model.bend(np.array([quality.features(texts[i]) for i in of])), np.array([truth[i] for i in of])
+        sides[fold] = x[y == 1], x[y == 0]
+    good, bad = sides[False]
+    ahead = lambda w, g, b: (g @ w)[:, None] - (b @ w)[None]
+    loss = lambda w: np.logaddexp(0, -ahead(w, good, bad)).mean() + 0.5e-3 * w @ w
+    w = np.zeros(good.shape[1])
+    for _ in range(600):
+        miss = 1 / (1 + np.exp(np.clip(ahead(w, good, bad), -30, 30))) / (len(good) * len(bad))
+        w -= 0.05 * (1e-3 * w - (good.T @ miss.sum(1) - bad.T @ miss.sum(0)))
+    assert loss(model.weights) < loss(w) + 0.05
+    right = lambda v: (ahead(v, *sides[True]) > 0).mean()
+    assert right(model.weights) > right(w) - 0.03
+
+
+def test_sample_is_bounded_in_rows(spark):
+    from sylvan.llm.training import labelled_sample
+
+    docs = documents(spark, [(2, f"text {i}") for i in range(500)] + [(i, "x") for i in range(3, 9)])
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(9)] * 3, "doc_id long, quality int, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 4).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) <= 4
+    assert all(r.text == "text 0" for r in labelled_sample(docs, labels, "toxic", 50).collect() if r.doc_id == 2)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = labelled(spark, insult, 20)
     assert toxicity.toxicity(docs, labels.limit(0)).toPandas().score.max() < 1e-9
