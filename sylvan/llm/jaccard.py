@@ -6,9 +6,11 @@
 3. Similar classes form groups: those of about one size that meet through shared prefix
    tokens, in blocks of bounded size. The token-group matrix holds, for each token, the
    blocks whose token union contains it and their range of set sizes.
-4. A pair of blocks is opened only if the matrix has a token in both and their sizes can
-   meet. Inside, rows whose overlap with the other block's token union is below what a link
-   needs are skipped; the rest are compared exactly, by products of 0/1 matrices.
+4. The matrix bounds how many tokens any two rows of a pair of blocks can share: those in
+   both unions whose sets are of sizes that can meet. A pair is opened only if the bound
+   reaches what a link needs. Inside, rows whose overlap with the other block's token union
+   is below what a link needs are skipped; the rest are compared exactly, by products of 0/1
+   matrices.
 
 Every pair of classes that may link lies in exactly one opened pair of blocks, so no link is
 lost and none is counted twice.
@@ -29,6 +31,8 @@ from sylvan.llm.components import components
 BLOCK, COLUMNS, CACHE = 128, 4096, 200_000
 #: Rounds in which labels spread through shared tokens when groups form.
 ROUNDS = 2
+#: Prefix tokens that two sets that link must share, where their sizes allow it.
+LEAD = 3
 
 
 @dataclass(frozen=True)
@@ -38,9 +42,19 @@ class Join:
     words: int = 5
     percent: int = 80
 
-    def prefix(self, n: int) -> int:
-        """How many first tokens of a set of n every set it links with must meet."""
-        return n - -(-self.percent * n // 100) + 1
+    def overlap(self, n):
+        """The least intersection of a set of n with any set it links with; n a number or a column."""
+        return F.ceil(F.lit(self.percent) * n / 100) if isinstance(n, Column) else -(-self.percent * n // 100)
+
+    def prefix(self, n):
+        """How many first tokens of a set of n hold LEAD (or its overlap) of those it shares with a set it links with."""
+        if isinstance(n, Column):
+            return n - self.overlap(n) + F.least(F.lit(LEAD), self.overlap(n))
+        return n - self.overlap(n) + min(LEAD, self.overlap(n))
+
+    def need(self, n: Column) -> Column:
+        """How many prefix tokens a set of n shares at least with a set it links with, the smallest one included."""
+        return F.least(F.lit(LEAD), self.overlap(self.overlap(n)))
 
     @property
     def zone(self) -> int:
@@ -92,11 +106,17 @@ def signature(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def row_key() -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def token_sets(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n (set size), sig (null for an empty set), zoned, tokens of every row.
+    """key, doc_id, n (set size), sig (null for an empty set), zoned, tokens of every row.
 
-    tokens: those below the zone's bound, `zoned` of them, and at least a prefix, by value;
-    none of a set so small that it links with equal ones only.
+    key: a hash of id and text, the same for repeated rows only. tokens: those below the
+    zone's bound, `zoned` of them, and at least a prefix, by value; none of a set so small
+    that it links with equal ones only.
     """
     import pyarrow as pa
 
@@ -112,27 +132,28 @@ def token_sets(docs: DataFrame, join: Join) -> DataFrame:
                 shown = own[: max(join.prefix(len(own)), zoned)] if len(own) >= join.least else own[:0]
                 out.append((len(own), signature(own) if len(own) else None, zoned, shown))
             columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *kinds])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *columns], ["key", "doc_id", *kinds])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, zoned long, tokens array<long>")
+    return docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key long, doc_id long, n long, sig binary, zoned long, tokens array<long>")
 
 
 def shared_prefixes(tokens: DataFrame, join: Join) -> DataFrame:
     """(token, df, rep, n): each class's prefix tokens that other classes have too.
 
     The order is the same for all: zone tokens by frequency and value, then others by value.
-    Tokens of one class only come first, so a class with enough of them drops out here.
+    Tokens of one class only come first, so a class with enough of them drops out here, as
+    does one with fewer left than any link needs.
     """
-    rows = tokens.select(F.col("doc_id").alias("rep"), "n", "zoned", F.explode("tokens").alias("token"))
+    rows = tokens.select(F.col("key").alias("rep"), "n", "zoned", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     late = (F.col("token") >= join.zone).cast("int")
     place = F.struct(late.alias("late"), F.when(late == 0, F.col("df")).otherwise(0).alias("rank"), "token", "df")
     per = rows.join(counts, "token").groupBy("rep", "n", "zoned").agg(F.array_sort(F.collect_list(place)).alias("shared"))
     early = F.filter("shared", lambda t: t.late == 0)
-    prefix = F.col("n") - F.ceil(F.lit(join.percent) * F.col("n") / 100) + 1
-    take = F.greatest(F.lit(0), prefix - (F.col("zoned") - F.size(early))).cast("int")
+    take = F.greatest(F.lit(0), join.prefix(F.col("n")) - (F.col("zoned") - F.size(early))).cast("int")
     kept = F.concat(F.slice(early, F.lit(1), take), F.filter("shared", lambda t: t.late == 1))
-    return per.select("rep", "n", F.explode(kept).alias("t")).select("t.token", "t.df", "rep", "n")
+    able = per.select("rep", "n", kept.alias("kept")).filter(F.size("kept") >= join.need(F.col("n")))
+    return able.select("rep", "n", F.explode("kept").alias("t")).select("t.token", "t.df", "rep", "n")
 
 
 def blocks(prefixes: DataFrame, join: Join) -> DataFrame:
@@ -155,11 +176,12 @@ def blocks(prefixes: DataFrame, join: Join) -> DataFrame:
 
 def opened(prefixes: DataFrame, members: DataFrame, join: Join) -> DataFrame:
     """(a, b), a <= b: pairs of blocks that the token-group matrix can't rule out."""
-    matrix = prefixes.join(members, "rep").groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    alone = members.groupBy("block").agg(F.count("*").alias("m")).filter("m = 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
+    matrix = prefixes.join(members, "rep").groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"), F.min(join.need(F.col("n"))).alias("need"))
     x, y = matrix.alias("x"), matrix.alias("y")
-    meets = (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.hi") >= join.percent * F.col("y.lo")) & (100 * F.col("y.hi") >= join.percent * F.col("x.lo"))
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & meets).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct().join(alone, ["a", "b"], "left_anti")
+    inside = F.col("x.block") == F.col("y.block")
+    meets = (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.hi") >= join.percent * F.col("y.lo")) & (100 * F.col("y.hi") >= join.percent * F.col("x.lo")) & (~inside | (F.col("x.m") > 1))
+    shared = x.join(y, (F.col("x.token") == F.col("y.token")) & meets).groupBy(F.col("x.block").alias("a"), F.col("y.block").alias("b"))
+    return shared.agg(F.count("*").alias("shared"), F.min(F.least("x.need", "y.need")).alias("need")).filter(F.col("shared") >= F.col("need")).select("a", "b")
 
 
 def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +268,7 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, pairs: DataFr
         return pd.DataFrame({"rep": reps[hit], "root": reps[root[hit]], "links": met[hit].astype(np.int64)})
 
     wanted = members.join(classes.select("rep", "sig", "copies"), "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("rep", "copies", "block", "sig", "text")
+    texts = docs.select(row_key().alias("rep"), "text").join(wanted, "rep").select("rep", "copies", "block", "sig", "text")
     sets = texts.mapInArrow(sets_of, "rep long, copies long, block long, tokens binary")
     inside = F.col("a") == F.col("b")
     sides = pairs.select("a", "b", inside.alias("self"), F.explode(F.when(inside, F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))).alias("s"))
@@ -254,38 +276,57 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, pairs: DataFr
     return rows.groupBy("a", "b").applyInPandas(verify, "rep long, root long, links long")
 
 
-def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, n_links.
-
-    component_id is the least doc_id reachable by links, n_links the number of other rows
-    linked directly. Words are runs of characters other than ASCII white space, A-Z
-    lower-cased; a text of fewer words than a shingle has its whole sequence as the one
-    shingle. Null and empty texts have an empty set, no links, and their own doc_id as
-    component. Equal sets link; rows that share a doc_id are one node. Sets are compared by
-    64-bit hashes of their shingles.
-    """
+def placed_rows(docs: DataFrame, join: Join) -> DataFrame:
+    """key, doc_id, n, family, component_id, links of every row; rows of a component share a family."""
     sets = cut(token_sets(docs, join))
-    sizes = sets.select("doc_id", "n", "sig")
-    classes = cut(sizes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
+    sizes = sets.select("key", "doc_id", "n", "sig")
+    classes = cut(sizes.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies")))
     large = classes.filter(F.col("n") >= join.least)
-    tokens = sets.filter(F.col("n") >= join.least).join(large.select("sig", F.col("rep").alias("doc_id")), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+    tokens = sets.filter(F.col("n") >= join.least).join(large.select("sig", F.col("rep").alias("key")), ["key", "sig"], "left_semi").dropDuplicates(["key", "sig"])
     prefixes = cut(shared_prefixes(cut(tokens), join))
     members = cut(blocks(prefixes, join))
     pairs = opened(prefixes, members, join)
     found = cut(links(docs, large, members, pairs, join))
     roots = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    # Of classes that link, the least id of each component; others have that of their own rows.
+    linked = classes.join(roots, F.col("rep") == F.col("node"))
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    placed = classes.join(roots, F.col("rep") == F.col("node"), "left").join(degrees, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return sizes.join(placed, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    far = roots.join(ids, "component").join(degrees, F.col("node") == F.col("rep"), "left").select("node", "component", "component_id", "links")
+    every = classes.join(far, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("family"), F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return sizes.join(every, "sig", "left").select("key", "doc_id", "n", "family", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, n_links.
+
+    component_id is the least doc_id reachable by links, n_links the number of other rows
+    linked directly. Words are runs of characters other than ASCII white space, A-Z
+    lower-cased; a text of fewer words than a shingle has its whole sequence as the one
+    shingle. Null and empty texts have an empty set, no links, and their own doc_id as
+    component. Equal sets link. Rows are nodes by id and text, so that rows that share an id
+    or have none keep their own links; the component of a row without an id is the least id
+    among its links, null if there is none. Sets are compared by 64-bit hashes of their
+    shingles, whole texts however long; other columns are ignored. An empty table gives no rows.
+    """
+    return placed_rows(docs, join).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("links").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """docs, all columns, with one document of each component: that with the least doc_id.
+    """docs, all columns, with one row of each component: that with the least doc_id, nulls last.
 
-    Rows that repeat the kept doc_id stay once; documents with an empty set all stay.
+    Of rows equal in id and text any one stays. Rows with an empty set all stay.
     """
-    found = jaccard_components(docs, join).filter((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = placed_rows(docs, join)
+    each = rows.filter("n > 0").groupBy("family", "doc_id", "key").agg(F.count("*").alias("times"))
+    kept = each.groupBy("family").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "times")).alias("k")).select("k.key", "k.times")
+    kept = cut(kept.union(rows.filter("n = 0").select("key", F.lit(1).cast("long").alias("times")).distinct()))
+    keyed = docs.withColumn("__row_key", row_key())
+    of = lambda some: keyed.join(some.select(F.col("key").alias("__row_key")), "__row_key", "left_semi")
+    many, out = kept.filter("times > 1"), of(kept.filter("times = 1"))
+    if not many.isEmpty():
+        out = out.unionByName(of(many).dropDuplicates(["__row_key"]))
+    return out.select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

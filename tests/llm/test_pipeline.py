@@ -62,6 +62,34 @@ def test_run(spark, folder):
     assert out.count() > 0 and {"doc_id", "bucket", "batch", "slot"} <= set(out.columns)
 
 
+ODD = [(None, "x"), (1, None), (2, ""), (3, " \n"), (4, "one two three four five six"), (4, "one two three four five six"), (4, "another text with the same id"), (5, "w " * 30000), (6, "w " * 30000)]
+CLASH = ["size", "key", "bucket", "spans", "sig", "tokens", "score", "label", "copies", "__copy"]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    docs = documents(spark, ODD, [(name, "mine") for name in CLASH])
+    labels = spark.createDataFrame([(1, 0, 0), (4, 1, 0), (5, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            out = stage(spark, rows, str(tmp_path))
+            kept = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns and all(r.size == "mine" for r in kept)
+            assert len(kept) <= 3 * len(ODD) and (kept == [] or not rows.isEmpty())
+        if name == "near_duplicates":
+            kept = [(r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()]
+            assert sorted(kept, key=str) == sorted(set(ODD) - {(6, "w " * 30000)}, key=str)
+        if name == "mixing":
+            assert {r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()} <= {None, 4, 5, 6}
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry():
     names = list(registry.queries())
     assert sorted(n.split("_")[0] for n in names) == sorted(f"op{i}" for i in range(1, 11))

@@ -75,10 +75,18 @@ def test_large_groups_are_split_into_blocks(spark, monkeypatch):
 
 
 def test_one_of_each(spark):
-    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "z"), (4, None), (5, ""), (1, "a b c d e f"), (None, "q r s t u v")]
+    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "z"), (4, None), (5, ""), (1, "a b c d e f"), (None, "q r s t u v"), (None, "q r s t u v"), (None, "other words"), (7, "p o"), (7, "i u"), (8, "I U"), (None, None)]
     kept = jaccard.one_of_each(documents(spark, rows, CLASH))
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 1, 2, 4, 5, None], key=str) and "sig" in kept.columns
-    assert jaccard.one_of_each(documents(spark, [])).count() == 0
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", "a b c d e f"), ("2", "z"), ("4", ""), ("5", ""), ("None", "q r s t u v"), ("None", "other words"), ("7", "p o"), ("7", "i u"), ("None", "")])
+    assert "sig" in kept.columns and jaccard.one_of_each(documents(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_links(spark):
+    base = [f"w{i}" for i in range(40)]
+    near = base[:-1] + ["x"]
+    rows = [(5, " ".join(base)), (5, "quite another text of some words"), (9, "Quite another text of some words"), (11, " ".join(near)), (None, " ".join(near + ["y"]))]
+    found = {(r.doc_id, r.n_shingles): (r.component_id, r.n_links) for r in jaccard.jaccard_components(documents(spark, rows)).collect()}
+    assert found == {(5, 36): (5, 2), (5, 2): (5, 1), (9, 2): (5, 1), (11, 36): (5, 2), (None, 37): (5, 2)}
 
 
 def test_components(spark):
