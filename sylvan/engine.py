@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.operators import diff, graph, history, metrics, navigation, patterns, serialize
+from sylvan.operators import diff, graph, graph_rules, history, metrics, navigation, patterns, serialize
 from sylvan.operators.metrics import MetricSpec
 
 
+@dataclass(frozen=True)
+class Config:
+    """What a repository is ingested with: precomputed patterns, a metric, graph rules; commits at most."""
+
+    precomputed: str | None = None
+    metric: MetricSpec | None = None
+    rules: str | None = None
+    limit: int | None = None
+
+
 class Engine:
     """commits(commit, parents, time, ...) and occ: occurrences whose root names a commit's tree.
 
@@ -19,6 +31,28 @@ class Engine:
 
     def __init__(self, commits: DataFrame, root_of: DataFrame, occ: DataFrame):
         self.commits, self.root_of, self.occ = commits, root_of, occ
+        self.config, self.timings = Config(), {}
+
+    def register(self, config: Config) -> Engine:
+        """An engine with what a configuration asks for computed beside its trees."""
+        occ = patterns.match_bits(self.occ, config.precomputed) if config.precomputed else self.occ
+        if config.metric:
+            occ = occ.join(metrics.bottom_up(self.occ, config.metric, "metric"), ["root", "pre"])
+        out = Engine(self.commits, self.root_of, occ)
+        out.config = config
+        return out
+
+    def timed(self, phase: str, df: DataFrame) -> DataFrame:
+        """df, computed and kept in the checkpoint folder, with the seconds it took under `timings`."""
+        began = time.time()
+        out = df.checkpoint(eager=True)
+        self.timings[phase] = time.time() - began
+        return out
+
+    def commit_count(self, after: str) -> int:
+        """How many commits a query from a head takes in under the configuration."""
+        n = self.walk(after).count()
+        return n if self.config.limit is None else min(n, self.config.limit)
 
     def walk(self, after: str, before: str | None = None, limit: int | None = None) -> DataFrame:
         """Commits of a range, nearest to its head first."""
@@ -38,11 +72,22 @@ class Engine:
         per = counted.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pattern", "matches"))), lambda x: x.matches).alias("counts"))
         return self.root_of.join(commits.select("commit"), "commit").join(per, "root").select("commit", "counts")
 
-    def query_stream(self, source: str, after: str, limit: int) -> Iterator:
-        """Rows of query(), one commit at a time, in the order of the walk."""
-        for r in self.walk(after, limit=limit).select("commit").toLocalIterator():
-            one = self.commits.filter(F.col("commit") == r.commit)
-            yield r.commit, [x.matches for x in patterns.counts(self.trees(one), source).orderBy("pattern").collect()]
+    def compute(self, source: str, after: str, max_matches: int = 500, limit: int | None = None) -> DataFrame:
+        """(commit, counts, errors): counts up to max_matches; errors lists the patterns that had more."""
+        per = self.query(source, after, limit=limit)
+        many = F.filter(F.transform("counts", lambda n, i: F.when(n > max_matches, i)), lambda i: i.isNotNull())
+        return per.select("commit", F.transform("counts", lambda n: F.least(n, F.lit(max_matches))).alias("counts"), many.alias("errors"))
+
+    def query_stream(self, source: str, after: str, limit: int | None = None, chunk: int = 100) -> Iterator:
+        """(commit, counts) in the order of the walk; commits are counted `chunk` at a time, one job for each chunk."""
+        walk = self.walk(after, limit=limit).select("commit", "far").checkpoint(eager=True)
+        total = walk.count()
+        ranked = walk.select("commit", (F.row_number().over(history.Window.orderBy("far", "commit")) - 1).alias("rank"))  # one row a commit
+        for start in range(0, total, chunk):
+            part = ranked.filter(F.col("rank").between(start, start + chunk - 1))
+            counted = patterns.counts(self.trees(part), source).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pattern", "matches"))), lambda x: x.matches).alias("counts"))
+            for r in self.root_of.join(part, "commit").join(counted, "root").orderBy("rank").toLocalIterator():
+                yield r.commit, list(r.counts)
 
     def query_differential(self, source: str, base: str, other: str) -> DataFrame:
         """Matches in base whose subtree other lacks."""
@@ -74,6 +119,10 @@ class Engine:
     def graph(self, stanzas: list[graph.Stanza], commit: str) -> tuple[DataFrame, DataFrame]:
         return graph.build(self.trees(self.commits.filter(F.col("commit") == commit)), stanzas)
 
+    def rules(self, commit: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """The graph that rules as text build from a commit's tree; those of the configuration by default."""
+        return graph_rules.build(self.trees(self.commits.filter(F.col("commit") == commit)), source or self.config.rules)
+
     def file(self, commit: str) -> DataFrame:
         """The commit's text."""
         return serialize.source(self.trees(self.commits.filter(F.col("commit") == commit)))

@@ -54,3 +54,23 @@ def compare_relations(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
     both = left.select(*keys).distinct().withColumn("__l", F.lit(1)).join(right.select(*keys).distinct().withColumn("__r", F.lit(1)), keys, "full_outer")
     side = F.when(F.col("__r").isNull(), "left").when(F.col("__l").isNull(), "right").otherwise("exact")
     return both.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+def mean_scores(pairs: DataFrame, keys: list[str], expected: str, found: str) -> DataFrame:
+    """Precision and recall as means over groups (macro): groups without a finding or expectation don't count."""
+    e, f = F.coalesce(F.col(expected), F.lit(False)), F.coalesce(F.col(found), F.lit(False))
+    n = pairs.groupBy(*keys).agg(F.count_if(e & f).alias("tp"), F.count_if(~e & f).alias("fp"), F.count_if(e & ~f).alias("fn"))
+    share = lambda other: F.avg(F.col("tp") / F.nullif(F.col("tp") + F.col(other), F.lit(0)))
+    return n.agg(share("fp").alias("precision"), share("fn").alias("recall"))
+
+
+def finalised(df: DataFrame, path: list[str], value: str) -> DataFrame:
+    """(first of path, estimates): nested containers of a path as one map from its names to count and mean.
+
+    What scripts gather in containers of containers is a group by the whole path here; the
+    map has a key for each path below the first level, joined by slashes, "" for all.
+    """
+    top, rest = path[0], path[1:]
+    rows = df.rollup(*path).agg(F.count(value).alias("count"), F.avg(value).alias("mean")).filter(F.col(top).isNotNull())
+    name = F.concat_ws("/", *rest) if rest else F.lit("")
+    return rows.groupBy(top).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("name"), F.struct("count", "mean").alias("estimate"))))).alias("estimates"))

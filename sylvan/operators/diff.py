@@ -7,13 +7,15 @@ as one grouped function for each pair of trees, on what the first phase left ope
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvan.functions.scalars import lcs, qgram_distance
+from sylvan.functions.scalars import lcs, qgram_distance, qgrams_of
 
 
 def equal_subtrees(pairs: DataFrame, occ: DataFrame, content: str = "content", least_height: int = 0) -> DataFrame:
@@ -59,33 +61,38 @@ class Tree:
     children: list[list[int]] = field(default_factory=list)
     size: list[int] = field(default_factory=list)
     height: list[int] = field(default_factory=list)
-    hash: list[str] = field(default_factory=list)
+    hash: list[bytes] = field(default_factory=list)  # of types, labels and order
+    shape: list[bytes] = field(default_factory=list)  # of types and order
 
     def __post_init__(self):
         n = len(self.type)
-        self.children, self.size, self.height, self.hash = [[] for _ in range(n)], [1] * n, [0] * n, [""] * n
+        self.children, self.size, self.height, self.hash, self.shape = [[] for _ in range(n)], [1] * n, [0] * n, [b""] * n, [b""] * n
         for i, p in enumerate(self.parent):
             if p is not None:
                 self.children[p].append(i)
         for i in range(n - 1, -1, -1):
             self.size[i] += sum(self.size[c] for c in self.children[i])
             self.height[i] = max((self.height[c] + 1 for c in self.children[i]), default=0)
-            self.hash[i] = f"({self.type[i]!r}{self.label[i]!r}" + "".join(self.hash[c] for c in self.children[i]) + ")"
+            own = hashlib.blake2b(repr((self.type[i], self.label[i])).encode("utf-8", "surrogatepass"), digest_size=16)
+            shape = hashlib.blake2b(self.type[i].encode("utf-8", "surrogatepass"), digest_size=16)
+            for c in self.children[i]:
+                own.update(self.hash[c])
+                shape.update(self.shape[c])
+            self.hash[i], self.shape[i] = own.digest(), shape.digest()
 
     @classmethod
     def nested(cls, spec) -> Tree:
         """From (type, label, [children]) tuples."""
         types, labels, parents = [], [], []
 
-        def walk(t, up):
+        work = [(spec, None)]
+        while work:
+            t, up = work.pop()
             i = len(types)
             types.append(str(t[0]))
             labels.append(t[1])
             parents.append(up)
-            for c in t[2] if len(t) > 2 else ():
-                walk(c, i)
-
-        walk(spec, None)
+            work += [(c, i) for c in reversed(t[2] if len(t) > 2 else ())]
         return cls(types, labels, parents)
 
     def below(self, i: int) -> range:
@@ -114,6 +121,16 @@ class Mapping:
         self.link(a, b)
         return True
 
+    def cut(self, a: int) -> None:
+        """Takes the link of a source node away."""
+        del self.dst[self.src.pop(a)]
+
+    def mirrored(self) -> Mapping:
+        """The links from the other side."""
+        m = Mapping()
+        m.src, m.dst = dict(self.dst), dict(self.src)
+        return m
+
     def link_subtrees(self, s: Tree, a: int, b: int) -> None:
         for i in range(s.size[a]):
             self.link(a + i, b + i)
@@ -241,10 +258,13 @@ def edit_distance(s: Tree, d: Tree, a: int = 0, b: int = 0) -> tuple[float, list
 
 
 def recover(s: Tree, d: Tree, m: Mapping, a: int, b: int, how: str, limit: int) -> None:
-    """Links more nodes inside a linked pair: by edit distance, or children by equality and type.
+    """Links more nodes inside a linked pair of subtrees.
 
-    Edit distance (zs) runs if either side has fewer than limit nodes, else nothing is linked;
-    hybrid uses it if both have, else children by equality and type.
+    how: zs, by edit distance if either side has fewer than limit nodes, else nothing; simple,
+    children of equal content, then of equal shape, each by a longest common subsequence,
+    then those that are the only open child of their type on both sides, and so on within
+    what was linked; hybrid, edit distance if both sides are below limit, else the rest of
+    simple without the subsequences; xy, only children alone of their type.
     """
     below = [n < limit for n in (s.size[a], d.size[b])]
     if how == "zs" or how == "hybrid" and all(below):
@@ -253,23 +273,22 @@ def recover(s: Tree, d: Tree, m: Mapping, a: int, b: int, how: str, limit: int)
                 if s.type[x] == d.type[y]:
                     m.link_if_free(x, y)
         return
-    free = lambda t, side, i: [c for c in t.children[i] if c not in side]
-    for same in (lambda x, y: s.hash[x] == d.hash[y], lambda x, y: s.type[x] == d.type[y] and s.size[x] == d.size[y]):
-        xs, ys = free(s, m.src, a), free(d, m.dst, b)
-        for i, j in lcs(xs, ys, same):
-            if s.hash[xs[i]] == d.hash[ys[j]]:
-                for k in range(s.size[xs[i]]):
-                    m.link_if_free(xs[i] + k, ys[j] + k)
-            elif m.link_if_free(xs[i], ys[j]):
-                recover(s, d, m, xs[i], ys[j], "simple", limit)
-    by_type: dict[str, tuple[list, list]] = {}
-    for x in free(s, m.src, a):
-        by_type.setdefault(s.type[x], ([], []))[0].append(x)
-    for y in free(d, m.dst, b):
-        by_type.setdefault(d.type[y], ([], []))[1].append(y)
-    for xs, ys in by_type.values():
-        if len(xs) == len(ys) == 1 and m.link_if_free(xs[0], ys[0]):
-            recover(s, d, m, xs[0], ys[0], "simple", limit)
+    work = [(a, b)]
+    while work:
+        a, b = work.pop()
+        xs, ys = ([c for c in t.children[i] if c not in side] for t, side, i in ((s, m.src, a), (d, m.dst, b)))
+        if how == "simple":
+            for same in (s.hash, d.hash), (s.shape, d.shape):
+                for i, j in lcs(xs, ys, lambda x, y, same=same: same[0][x] == same[1][y]):
+                    if not any(xs[i] + k in m.src or ys[j] + k in m.dst for k in range(s.size[xs[i]])):
+                        m.link_subtrees(s, xs[i], ys[j])
+                xs, ys = [x for x in xs if x not in m.src], [y for y in ys if y not in m.dst]
+        kinds = Counter(s.type[x] for x in xs), Counter(d.type[y] for y in ys)
+        alone = {d.type[y]: y for y in ys if kinds[1][d.type[y]] == 1}
+        for x in reversed(xs):
+            y = alone.get(s.type[x])
+            if y is not None and kinds[0][s.type[x]] == 1 and m.link_if_free(x, y) and how != "xy":
+                work.append((x, y))
 
 
 @dataclass(frozen=True)
@@ -291,7 +310,7 @@ GREEDY_100 = Matcher()
 STABLE = Matcher(kind="chawathe", limit=300, stable=True)
 SIMPLE = Matcher(kind="chawathe", recovery="simple")
 HYBRID = Matcher(kind="chawathe", threshold=None, recovery="hybrid")
-XY = Matcher(kind="jaccard", recovery="simple")
+XY = Matcher(kind="jaccard", recovery="xy")
 
 
 def bottom_up(s: Tree, d: Tree, m: Mapping, how: Matcher) -> None:
@@ -335,37 +354,91 @@ def bottom_up(s: Tree, d: Tree, m: Mapping, how: Matcher) -> None:
             recover(s, d, m, a, m.src[a], how.recovery, how.limit)
 
 
-def change_distiller(s: Tree, d: Tree, m: Mapping) -> None:
-    """Leaves by label similarity, best first; then inner nodes bottom-up by linked leaves."""
-    leaves = lambda t: [i for i in range(len(t.type)) if not t.children[i]]
+#: How the types of statements end.
+STATEMENTS = "_statement"
+
+
+def leaves_of(t: Tree, granularity: str) -> list[int]:
+    """Nodes that count as leaves: `all` those without children, or `statements`, the lowest statements (and leaves outside any)."""
+    if granularity == "all":
+        return [i for i in range(len(t.type)) if not t.children[i]]
+    inner = [False] * len(t.type)  # a statement further down
+    for i in range(len(t.type) - 1, 0, -1):
+        p = t.parent[i]
+        inner[p] |= inner[i] or t.type[i].endswith(STATEMENTS)
+    out, i = [], 0
+    while i < len(t.type):
+        if (t.type[i].endswith(STATEMENTS) and not inner[i]) or not t.children[i]:
+            out.append(i)
+            i += t.size[i]
+        else:
+            i += 1
+    return out
+
+
+def text_of(t: Tree, i: int) -> str:
+    """The labels of a subtree, in order."""
+    return "".join(t.label[j] or "" for j in range(i, i + t.size[i]))
+
+
+def change_distiller(s: Tree, d: Tree, m: Mapping, granularity: str = "all") -> None:
+    """Leaves by label similarity, best first; then inner nodes bottom-up by linked leaves, best first.
+
+    Only leaves of one type that share a q-gram are compared: without one they can't be
+    similar enough.
+    """
+    xs, ys = leaves_of(s, granularity), leaves_of(d, granularity)
+    index: dict[tuple[str, str], list[int]] = {}
+    texts = {y: text_of(d, y) for y in ys}
+    for y in ys:
+        for g in set(qgrams_of(texts[y])):
+            index.setdefault((d.type[y], g), []).append(y)
     scored = []
-    for x in leaves(s):
-        for y in leaves(d):
-            if s.type[x] == d.type[y]:
-                near = 1 - qgram_distance(s.label[x] or "", d.label[y] or "")
-                if near > 0.5:
-                    scored.append((-near, x, y))
+    for x in xs:
+        mine = text_of(s, x)
+        for y in sorted({y for g in set(qgrams_of(mine)) for y in index.get((s.type[x], g), ())}):
+            near = 1 - qgram_distance(mine, texts[y])
+            if near > 0.5:
+                scored.append((-near, x, y))
     for _, x, y in sorted(scored):
-        m.link_if_free(x, y)
+        if x not in m.src and y not in m.dst:
+            if s.hash[x] == d.hash[y]:
+                m.link_subtrees(s, x, y)
+            else:
+                m.link(x, y)
+    is_leaf = set(xs), set(ys)
+    above = [[0] * len(t.type) for t in (s, d)]  # leaves below each node
+    for t, leaves, count in ((s, xs, above[0]), (d, ys, above[1])):
+        for i in leaves:
+            count[i] = 1
+        for i in range(len(t.type) - 1, 0, -1):
+            count[t.parent[i]] += count[i]
     for a in s.postorder():
-        if a in m.src or not s.children[a]:
+        if a in m.src or not s.children[a] or a in is_leaf[0]:
             continue
-        mine = [x for x in s.below(a) if not s.children[x]]
-        for b in d.postorder():
-            if b in m.dst or not d.children[b] or s.type[a] != d.type[b]:
-                continue
-            other = [y for y in d.below(b) if not d.children[y]]
-            n = sum(1 for x in mine if m.src.get(x) in d.below(b))
-            if n / max(len(mine), len(other)) >= (0.6 if min(len(mine), len(other)) > 4 else 0.4):
-                m.link(a, b)
-                break
+        met: Counter = Counter()
+        for x in (x for x in s.below(a) if x in is_leaf[0]):
+            y = m.src.get(x)
+            y = None if y is None else d.parent[y]
+            while y is not None:
+                met[y] += 1
+                y = d.parent[y]
+        best = (0.0, 0)
+        for b, n in met.items():
+            if b not in m.dst and d.type[b] == s.type[a]:
+                p, q = above[0][a], above[1][b]
+                near = n / max(p, q)
+                if near >= (0.6 if min(p, q) > 4 else 0.4):
+                    best = max(best, (near, -b))
+        if best[0]:
+            m.link(a, -best[1])
 
 
 def match(s: Tree, d: Tree, algorithm: str = "greedy") -> Mapping:
     """Links of two trees by one of ALGORITHMS."""
     m = Mapping()
-    if algorithm == "change_distiller":
-        change_distiller(s, d, m)
+    if algorithm.startswith("change_distiller"):
+        change_distiller(s, d, m, "statements" if algorithm.endswith("statements") else "all")
     elif algorithm == "zs":
         for x, y in edit_distance(s, d)[1]:
             m.link(x, y)
@@ -376,7 +449,7 @@ def match(s: Tree, d: Tree, algorithm: str = "greedy") -> Mapping:
     return m
 
 
-ALGORITHMS = {"greedy": GREEDY, "greedy_100": GREEDY_100, "stable": STABLE, "simple": SIMPLE, "hybrid": HYBRID, "xy": XY, "subtree": None, "change_distiller": None, "zs": None}
+ALGORITHMS = {"greedy": GREEDY, "greedy_100": GREEDY_100, "stable": STABLE, "simple": SIMPLE, "hybrid": HYBRID, "xy": XY, "subtree": None, "change_distiller": None, "change_distiller_statements": None, "zs": None}
 
 
 def edit_script(s: Tree, d: Tree, m: Mapping) -> list[tuple]:
@@ -439,14 +512,14 @@ def edit_script(s: Tree, d: Tree, m: Mapping) -> list[tuple]:
                     actions.append(("move", c, x, at, None))
         level = [c for y in level for c in d.children[y]]
 
-    def drop(x):
-        for c in list(kids[x]):
-            drop(c)
-        if x != "^" and x not in back:
+    work = [("^", False)]
+    while work:
+        x, left = work.pop()
+        if not left:
+            work += [(x, True), *((c, False) for c in reversed(kids[x]))]
+        elif x != "^" and x not in back:
             kids[up[x]].remove(x)
             actions.append(("delete", x, None, None, None))
-
-    drop("^")
     return actions
 
 
@@ -467,10 +540,14 @@ def apply(s: Tree, d: Tree, actions: list[tuple]):
             kids[parent].insert(at, x)
             up[x] = parent
 
-    def nest(x):
-        return (d.type[x[1]] if isinstance(x, tuple) else s.type[x], label[x], [nest(c) for c in kids[x]])
-
-    return [nest(x) for x in kids["^"]]
+    made, work = {}, [(x, False) for x in reversed(kids["^"])]
+    while work:
+        x, ready = work.pop()
+        if ready:
+            made[x] = (d.type[x[1]] if isinstance(x, tuple) else s.type[x], label[x], [made.pop(c) for c in kids[x]])
+        else:
+            work += [(x, True), *((c, False) for c in reversed(kids[x]))]
+    return [made[x] for x in kids["^"]]
 
 
 def _by_pair(pairs: DataFrame, occ: DataFrame, work, fields: str) -> DataFrame:
@@ -560,3 +637,36 @@ def script_text(actions: DataFrame) -> DataFrame:
 def examples(actions: DataFrame) -> DataFrame:
     """(pair, kind, nodes): what each pair deletes, inserts, moves and updates, as example sets for mining."""
     return actions.groupBy("pair", "kind").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+
+
+def open_nodes(pairs: DataFrame, occ: DataFrame, content: str = "content", least_height: int = 1) -> DataFrame:
+    """(pair, side, root, pre): what is left of each pair when unique equal subtrees are linked.
+
+    Later phases need only these nodes: most of two versions of a file is alike.
+    """
+    unique, _ = unique_matches(equal_subtrees(pairs, occ, content, least_height))
+    linked = link_below(unique)
+    side = lambda s: pairs.join(occ.select("root", "pre"), F.col(f"{s}_root") == F.col("root")).select("pair", F.lit(s).alias("side"), "root", "pre").join(linked.select("pair", F.col(s).alias("pre")), ["pair", "pre"], "left_anti").select("pair", "side", "root", "pre")
+    return side("src").unionByName(side("dst"))
+
+
+def mapping_view(pairs: DataFrame, links: DataFrame, occ: DataFrame) -> DataFrame:
+    """(pair, src, dst, src_node, dst_node, same): links with type and label of both ends, and the nodes without one."""
+    node = F.concat_ws(" ", "type", "label")
+    side = lambda s: pairs.join(occ, F.col(f"{s}_root") == F.col("root")).select("pair", F.col("pre").cast("long").alias(s), node.alias(f"{s}_node"))
+    ends = side("src").join(links, ["pair", "src"], "left").join(side("dst"), ["pair", "dst"], "full_outer")
+    return ends.select("pair", "src", "dst", "src_node", "dst_node", F.col("src_node").eqNullSafe(F.col("dst_node")).alias("same"))
+
+
+def summary(actions: DataFrame) -> DataFrame:
+    """(pair, kind, n): how many actions of each kind."""
+    return actions.groupBy("pair", "kind").agg(F.count("*").alias("n"))
+
+
+def focus(actions: DataFrame, occ: DataFrame, pairs: DataFrame, kinds: list[str], file_types: list[str]) -> DataFrame:
+    """(pair, kind, node, label, file): where actions of some kinds act, with the file node around, for source nodes."""
+    from sylvan.operators.navigation import enclosing
+
+    acts = actions.filter(F.col("kind").isin(kinds) & ~F.col("node_new")).join(pairs.select("pair", F.col("src_root").alias("root")), "pair").withColumn("pre", F.col("node"))
+    files = enclosing(occ, acts.select("root", "pre"), file_types)
+    return acts.join(files, ["root", "pre"], "left").select("pair", "kind", "node", "label", F.col("ancestor").alias("file"))

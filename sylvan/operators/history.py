@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.operators.lineage import cut
+from sylvan.operators.metrics import top_down
 
 
 class Walk:
@@ -123,41 +124,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     return every.withColumn(value, F.last("__v", ignorenulls=True).over(run)).filter("__side = 1").drop("__t", "__v", "__side")
 
 
-#: What a tracked node can be watched for; see flags().
-FLAGS = ("upd", "child", "parent", "exact_parent", "top")
-
-
 def follow(wanted: DataFrame, pairs: DataFrame, links: DataFrame, occ: DataFrame) -> DataFrame:
     """Where nodes go in the next version, by a tree mapping, with a fallback.
 
     wanted(root, pre), pairs(pair, src_root, dst_root), links(pair, src, dst) as from
     diff.mappings. Returns root, pre, next_root, next_pre, status: direct (the node is
     linked), missing (only an ancestor is; next_pre is the nearest one's partner, null if
-    there is none) or last (the version has no successor). Ancestors are found by intervals
-    within a tree.
+    there is none) or last (the version has no successor). The nearest linked node above is
+    handed down the trees of wanted, level by level.
     """
     mine = wanted.select("root", "pre").distinct()
-    above = mine.alias("w").join(occ.alias("a"), (F.col("w.root") == F.col("a.root")) & (F.col("a.pre") <= F.col("w.pre")) & (F.col("w.pre") < F.col("a.pre") + F.col("a.size"))).select("w.root", "w.pre", F.col("a.pre").alias("src"), F.col("a.depth").alias("depth"))
-    linked = pairs.join(links, "pair").select(F.col("src_root").alias("root"), "src", "dst")
-    found = above.join(linked, ["root", "src"]).groupBy("root", "pre").agg(F.max_by(F.struct("src", "dst"), "depth").alias("__near"))
+    linked = pairs.join(links, "pair").select(F.col("src_root").alias("root"), F.col("src").alias("pre"), "dst")
+    trees = occ.join(mine.select("root").distinct(), "root", "left_semi").select("root", "pre", "parent", "depth").join(linked, ["root", "pre"], "left")
+    here = F.when(F.col("dst").isNotNull(), F.struct(F.col("pre").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+    found = top_down(trees, here, lambda above: F.coalesce(here, above), "__near")
     rows = mine.join(pairs.select(F.col("src_root").alias("root"), F.col("dst_root").alias("next_root")), "root", "left").join(found, ["root", "pre"], "left")
     status = F.when(F.col("next_root").isNull(), "last").when(F.col("__near.src") == F.col("pre"), "direct").otherwise("missing")
     return rows.select("root", "pre", "next_root", F.col("__near.dst").alias("next_pre"), status.alias("status"))
-
-
-def flags(followed: DataFrame, occ: DataFrame, content: str = "content") -> DataFrame:
-    """Adds to follow()'s direct rows what changed, as booleans named by FLAGS.
-
-    upd: the label; child: the content of the subtree; parent: the content of the parent's;
-    exact_parent: the parent's type or label; top: the content of the whole tree.
-    """
-    def side(root, pre, tag):
-        node = occ.select(F.col("root").alias(root), F.col("pre").alias(pre), F.col("parent").alias(f"__p{tag}"), F.col("label").alias(f"__l{tag}"), F.col(content).alias(f"__c{tag}"))
-        up = occ.select(F.col("root").alias(root), F.col("pre").alias(f"__p{tag}"), F.struct("type", "label").alias(f"__pl{tag}"), F.col(content).alias(f"__pc{tag}"))
-        top = occ.filter("pre = 0").select(F.col("root").alias(root), F.col(content).alias(f"__t{tag}"))
-        return node.join(up, [root, f"__p{tag}"], "left").join(top, root)
-
-    direct = followed.filter("status = 'direct'")
-    both = direct.join(side("root", "pre", "a"), ["root", "pre"]).join(side("next_root", "next_pre", "b"), ["next_root", "next_pre"])
-    changed = {name: ~F.col(f"__{c}a").eqNullSafe(F.col(f"__{c}b")) for name, c in zip(FLAGS, ("l", "c", "pc", "pl", "t"))}
-    return both.select(*followed.columns, *(v.alias(k) for k, v in changed.items()))

@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the session's shared checkpoint folder and continues from there.
 
-    A temporary folder is set only where spark.checkpoint.dir names none.
+    Where spark.checkpoint.dir names none it lies in the warehouse, which a cluster shares
+    too; only a local session, whose executors are this process, gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            local = sc.master.startswith("local")
+            named = tempfile.mkdtemp(prefix="checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)

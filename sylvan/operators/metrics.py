@@ -6,8 +6,10 @@ a difference of two running sums. Metrics that aren't sums go up level by level.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 from sylvan.operators.lineage import cut
 
 #: Node types that fork control flow and those that keep a complexity: fixed values.
-FORKS = ["if_statement", "for_statement", "while_statement", "do_statement", "switch_label", "catch_clause", "ternary_expression"]
+FORKS = ["ternary_expression", "if_statement", "for_statement", "enhanced_for_statement", "while_statement", "catch_clause", "switch_label", "try_statement", "try_with_resources_statement", "do_statement"]
 MEASURED = ["program", "class_declaration", "interface_declaration", "enum_declaration", "record_declaration", "method_declaration"]
 COMMENTS = ["comment", "line_comment", "block_comment"]
+#: Levels after which values still waiting for their parents are gathered.
+COMPACT = 8
 
 
 def subtree_sum(occ: DataFrame, value: Column, name: str) -> DataFrame:
@@ -39,6 +43,15 @@ def mcc(occ: DataFrame, forks: list[str] = FORKS) -> DataFrame:
     return subtree_sum(occ, F.when(F.col("type").isin(forks), 1).otherwise(0), "mcc").withColumn("mcc", F.col("mcc") + 1)
 
 
+#: What JaCoCo counts beside forks, and what it doesn't: fixed values.
+SHORT_CIRCUIT, NOT_BRANCHES = ["&&", "||"], ["try_statement", "try_with_resources_statement", "catch_clause"]
+
+
+def mcc_jacoco(occ: DataFrame) -> DataFrame:
+    """Adds mcc: branches as JaCoCo counts them, with short-circuit operators and without handlers, plus one."""
+    return mcc(occ, [f for f in FORKS if f not in NOT_BRANCHES] + SHORT_CIRCUIT)
+
+
 def bytes_len(occ: DataFrame) -> DataFrame:
     """Adds bytes_len: UTF-8 length of the subtree's text, from its leaves."""
     return subtree_sum(occ, F.when(F.col("size") == 1, F.octet_length(F.coalesce("label", F.lit("")))).otherwise(0), "bytes_len")
@@ -58,13 +71,21 @@ def loc(occ: DataFrame) -> DataFrame:
     siblings = Window.partitionBy("root", "parent").orderBy("pos")
     comment = F.col("type").isin(COMMENTS)
     muted = occ.withColumn("__mute", comment | F.coalesce(F.lag(comment).over(siblings), F.lit(False)))
-    cover = muted.filter("__mute AND size > 1").select("root", F.col("pre").alias("a"), F.col("size").alias("n"))
-    below = muted.select("root", "pre").alias("d").join(cover.alias("c"), (F.col("d.root") == F.col("c.root")) & (F.col("d.pre") > F.col("c.a")) & (F.col("d.pre") < F.col("c.a") + F.col("c.n"))).select("d.root", "d.pre").distinct().withColumn("__under", F.lit(True))
-    rows = muted.join(below, ["root", "pre"], "left")
-    counts = (F.col("type") == "spaces") & F.col("label").contains("\n") & ~F.col("__mute") & F.col("__under").isNull()
+    # Intervals nest: whatever began earlier and ends later is an ancestor.
+    before = Window.partitionBy("root").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.when(F.col("__mute"), F.col("pre") + F.col("size"))).over(before) > F.col("pre"), F.lit(False))
+    rows = muted.withColumn("__under", covered)
+    counts = (F.col("type") == "spaces") & F.col("label").contains("\n") & ~F.col("__mute") & ~F.col("__under")
     return subtree_sum(rows, F.when(counts, 1).otherwise(0), "loc").drop("__mute", "__under")
 
 
+def counts_below(occ: DataFrame) -> DataFrame:
+    """Adds statements, member_imports and leaves: how many of each lie in the subtree. Not saturated."""
+    out = subtree_sum(occ, F.when(F.col("type").rlike("_statement$|^local_variable_declaration$"), 1).otherwise(0), "statements")
+    out = subtree_sum(out, F.when(F.col("type") == "import_declaration", 1).otherwise(0), "member_imports")
+    return subtree_sum(out, F.when(F.col("size") == 1, 1).otherwise(0), "leaves")
+
+
 @dataclass(frozen=True)
 class MetricSpec:
     """A bottom-up metric: init on each node, acc over its children's values, finish of both.
@@ -77,22 +98,38 @@ class MetricSpec:
     acc: Column
     finish: Callable[[Column, Column], Column]
 
+    @classmethod
+    def of(cls, init: str, acc: str, finish: str) -> MetricSpec:
+        """From SQL texts: init over a node's columns, acc an aggregate of `value`, finish of `own` and `acc` (null on leaves)."""
+        named = re.sub(r"\b(own|acc)\b", r"__\1", finish)
+        return cls(F.expr(init), F.expr(acc), lambda own, acc: F.expr(named))
+
 
 def bottom_up(occ: DataFrame, spec: MetricSpec, name: str, levels: int | None = None) -> DataFrame:
     """(root, pre, name): the metric of every node, one grouped join for each level of height.
 
-    levels is the greatest height; it is looked up if not given.
+    levels is the greatest height; it is looked up if not given. Each node knows the height
+    of its parent, so a level reads just the values it needs, and values are written once
+    (and, while their parents are far up, again every COMPACT levels).
     """
-    rows = cut(occ.select("root", "pre", "parent", "pos", "height", spec.init.alias("__own")))
+    plain = occ.select("root", "pre", "parent", "pos", "height", spec.init.alias("__own"))
+    tall = plain.filter("height > 0").select("root", F.col("pre").alias("parent"), F.col("height").alias("__up"))
+    rows = cut(plain.join(tall, ["root", "parent"], "left"))
     if levels is None:
         levels = rows.agg(F.max("height")).first()[0] or 0
-    done = rows.filter("height = 0").select("root", "parent", "pre", "pos", "height", spec.finish(F.col("__own"), F.lit(None)).alias("value"))
+    columns = ["root", "parent", "pre", "pos", "__up", "value"]
+    leaves = rows.filter("height = 0").withColumn("__acc", F.lit(None)).withColumn("value", spec.finish(F.col("__own"), F.col("__acc"))).select(*columns)
+    done, pending = [leaves], [leaves]
     for h in range(1, levels + 1):
-        here = rows.filter(F.col("height") == h)
-        up = done.join(here.select("root", F.col("pre").alias("parent")), ["root", "parent"], "left_semi").groupBy("root", F.col("parent").alias("pre")).agg(spec.acc.alias("__acc"))
-        new = here.join(up, ["root", "pre"]).select("root", "parent", "pre", "pos", "height", spec.finish(F.col("__own"), F.col("__acc")).alias("value"))
-        done = cut(done.unionByName(new))
-    return done.select("root", "pre", F.col("value").alias(name))
+        below = reduce(DataFrame.unionByName, (p.filter(F.col("__up") == h) for p in pending))
+        up = below.groupBy("root", F.col("parent").alias("pre")).agg(spec.acc.alias("__acc"))
+        new = rows.filter(F.col("height") == h).join(up, ["root", "pre"]).withColumn("value", spec.finish(F.col("__own"), F.col("__acc"))).select(*columns)
+        new = cut(new) if h < levels else new
+        done.append(new)
+        pending.append(new)
+        if h % COMPACT == 0 and h < levels:
+            pending = [cut(reduce(DataFrame.unionByName, (p.filter(F.col("__up") > h) for p in pending)))]
+    return reduce(DataFrame.unionByName, done).select("root", "pre", F.col("value").alias(name))
 
 
 def top_down(occ: DataFrame, start: Column, step: Callable[[Column], Column], name: str, keep: Column | None = None, levels: int | None = None) -> DataFrame:
@@ -102,7 +139,7 @@ def top_down(occ: DataFrame, start: Column, step: Callable[[Column], Column], na
     level of depth; levels is the greatest depth, looked up if not given. With bottom_up on
     what is left, this is a fold with a filter on the way down.
     """
-    rows = occ if keep is None else occ.filter(F.coalesce(keep, F.lit(False)))
+    rows = cut(occ if keep is None else occ.filter(F.coalesce(keep, F.lit(False))))
     if levels is None:
         levels = rows.agg(F.max("depth")).first()[0] or 0
     level = rows.filter("depth = 0").select("root", "pre", start.alias("__state"))
@@ -141,3 +178,10 @@ def store_statistics(occ: DataFrame, hashes: DataFrame, content: str = "content"
 def path_totals(df: DataFrame, path: list[str], value: str) -> DataFrame:
     """Totals on every level of a path (module, folder, file): a rollup."""
     return df.rollup(*path).agg(F.sum(value).alias("total"), F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+def bag_hash(occ: DataFrame, name: str = "bag", labels: bool = True, levels: int | None = None) -> DataFrame:
+    """(root, pre, name): a 32-bit hash in which the order of children doesn't count: their hashes are added."""
+    own = F.xxhash64("type", F.coalesce("label", F.lit("\x00")) if labels else F.lit(""))
+    added = F.pmod(F.sum("value"), F.lit(2**32)).cast("long")
+    return bottom_up(occ, MetricSpec(own, added, lambda o, a: F.pmod(F.xxhash64(o, F.coalesce(a, F.lit(0).cast("long"))), F.lit(2**32))), name, levels)

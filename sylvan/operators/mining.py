@@ -6,24 +6,10 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sylvan.operators.diff import Tree
 from sylvan.operators.lineage import cut
 
-#: Queries on test smells in the pattern language: fixed by the smell catalogue's definitions.
-SMELLS = {
-    "empty_test": '(method_declaration name: (_) (block . "{" . "}"))',
-    "conditional_logic": '(method_declaration (block [(if_statement) (for_statement) (while_statement) (switch_expression)] @logic))',
-    "exception_handling": "(method_declaration (block [(try_statement) (throw_statement)] @handling))",
-    "sleepy_test": '(expression_statement (identifier) @name (#eq? @name "sleep"))',
-    "redundant_print": '(expression_statement (identifier) @out (identifier) @print (#eq? @out "out") (#match? @print "^print"))',
-    "ignored_test": '(method_declaration (identifier) @mark (#eq? @mark "Ignore"))',
-    "assertion_roulette": '(method_declaration (block (expression_statement (identifier) @a (#match? @a "^assert")) (expression_statement (identifier) @b (#match? @b "^assert"))))',
-    "magic_number": '(expression_statement (identifier) @a (parenthesized (decimal_integer_literal) @n) (#match? @a "^assert"))',
-}
-
-
 def to_query(tree: Tree, i: int = 0, labels: bool = True, hidden: frozenset[str] = frozenset(("spaces",))) -> str:
     """A pattern that matches the subtree at i: named nodes nest, labelled leaves get a text test."""
     kids = [to_query(tree, c, labels, hidden) for c in tree.children[i] if tree.type[c] not in hidden]
@@ -35,8 +21,6 @@ def to_query(tree: Tree, i: int = 0, labels: bool = True, hidden: frozenset[str]
     return "(" + " ".join([tree.type[i], *kids]) + own + ")"
 
 
-
-
 def generalisations(query: str) -> list[tuple[str, str]]:
     """(kind, query) one step more general: a leaf removed (rm), or a text test dropped (eq)."""
     out, depth, starts, quoted = [], 0, [], False
@@ -62,24 +46,26 @@ def generalisations(query: str) -> list[tuple[str, str]]:
     return sorted(set(out))
 
 
-_STEP = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("query", T.StringType())]))
+def _generalised(frames):
+    import pandas as pd
+
+    for pdf in frames:
+        rows = [(q, made, kind) for q in pdf["query"] for kind, made in generalisations(q)]
+        yield pd.DataFrame(rows, columns=["src", "dst", "kind"])
 
 
 def lattice(examples: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes(query, level), edges(src, dst, kind)) from examples(example, query).
 
-    Without rounds it goes on until no new query is left to generalise. Each round generalises the distinct queries of the round before by one step; equal
-    queries from different examples meet by a distinct, so work is shared between examples.
+    Without rounds it goes on until no new query is left to generalise. Each round
+    generalises the distinct queries of the round before by one step; equal queries from
+    different examples meet by a distinct, so work is shared between examples.
     """
 
-    @F.udf(_STEP)
-    def step(q):
-        return generalisations(q)
-
     now = examples.select("query").distinct().withColumn("level", F.lit(0))
     nodes, edges = now, None
     for i in count(1) if rounds is None else range(1, rounds + 1):
-        made = now.select(F.col("query").alias("src"), F.explode(step("query")).alias("g")).select("src", F.col("g.query").alias("dst"), F.col("g.kind").alias("kind")).distinct()
+        made = now.select("query").mapInPandas(_generalised, "src string, dst string, kind string").distinct()
         edges = made if edges is None else edges.unionByName(made)
         now = cut(made.select(F.col("dst").alias("query")).distinct().join(nodes.select("query"), "query", "left_anti").withColumn("level", F.lit(i)))
         if rounds is None and now.isEmpty():
@@ -124,3 +110,19 @@ def groups(edges: DataFrame) -> DataFrame:
         if jump.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").isEmpty():
             return jump
         labels = jump
+
+
+def lattice_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: queries, edges, tops (nothing more general), bottoms (nothing more special), widest level."""
+    up = edges.groupBy(F.col("src").alias("query")).agg(F.count("*").alias("out"))
+    down = edges.select(F.col("dst").alias("query"), F.lit(True).alias("made")).distinct()
+    each = nodes.join(up, "query", "left").join(down, "query", "left")
+    levels = each.groupBy("level").agg(F.count("*").alias("n"), F.coalesce(F.sum("out"), F.lit(0)).alias("out"), F.count_if(F.col("out").isNull()).alias("top"), F.count_if(F.col("made").isNull()).alias("bottom"))
+    return levels.agg(F.sum("n").alias("queries"), F.sum("out").alias("edges"), F.sum("top").alias("tops"), F.sum("bottom").alias("bottoms"), F.max("n").alias("widest"))
+
+
+def covering_tops(supported: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+    """(query, examples): queries of at least so many examples that no more special one covers as well."""
+    more = edges.join(supported.select(F.col("query").alias("src"), F.col("examples").alias("s")), "src")
+    equal = more.join(supported.select(F.col("query").alias("dst"), F.col("examples").alias("d")), "dst").filter("s = d").select(F.col("dst").alias("query")).distinct()
+    return supported.filter(F.col("examples") >= least).join(equal, "query", "left_anti").select("query", "examples")

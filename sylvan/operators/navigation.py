@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvan.operators.lineage import cut
+from sylvan.operators.metrics import subtree_sum, top_down
+
 
 def children(occ: DataFrame) -> DataFrame:
     """(root, pre, child, pos, role): edges of all trees."""
@@ -44,17 +47,33 @@ def within(ancestor: str, descendant: str) -> Column:
 def ancestors(occ: DataFrame, of: DataFrame) -> DataFrame:
     """(root, pre, ancestor, ancestor_type, up): for nodes of(root, pre); up = levels above.
 
-    An equi-join on the tree with an interval condition; trees, not the corpus, bound its cost.
+    Climbs from node to parent, an equi-join for each level: work is that of the result.
     """
-    d = of.select("root", "pre").join(occ.select("root", "pre", "depth"), ["root", "pre"]).alias("d")
-    a = occ.select("root", "pre", "size", "depth", "type").alias("a")
-    return d.join(a, within("a", "d")).select("d.root", "d.pre", F.col("a.pre").alias("ancestor"), F.col("a.type").alias("ancestor_type"), (F.col("d.depth") - F.col("a.depth")).alias("up"))
+    edges = cut(occ.select("root", "pre", "parent", "type", "depth"))
+    now = of.select("root", "pre").distinct().join(edges, ["root", "pre"]).select("root", "pre", F.col("parent").alias("ancestor"), "depth")
+    levels = now.agg(F.max("depth")).first()[0] or 0
+    parent = edges.select("root", F.col("pre").alias("ancestor"), F.col("type").alias("ancestor_type"), F.col("parent").alias("__next"))
+    out = None
+    for up in range(1, levels + 1):
+        level = now.filter("ancestor IS NOT NULL").join(parent, ["root", "ancestor"])
+        level = cut(level) if up < levels and up % 4 == 0 else level
+        rows = level.select("root", "pre", "ancestor", "ancestor_type", F.lit(up).alias("up"))
+        out = rows if out is None else out.unionByName(rows)
+        now = level.select("root", "pre", F.col("__next").alias("ancestor"), "depth")
+    return out if out is not None else now.select("root", "pre", "ancestor", F.lit("").alias("ancestor_type"), F.lit(0).alias("up")).limit(0)
 
 
 def descendants(occ: DataFrame, of: DataFrame) -> DataFrame:
-    """(root, pre, descendant, type): of nodes of(root, pre)."""
-    a = of.select("root", "pre").join(occ.select("root", "pre", "size"), ["root", "pre"]).alias("a")
-    return a.join(occ.alias("d"), within("a", "d")).select("a.root", "a.pre", F.col("d.pre").alias("descendant"), "d.type")
+    """(root, pre, descendant, type): of nodes of(root, pre).
+
+    Climbs from all nodes of these trees and keeps the wanted ancestors, so a large tree
+    costs its nodes times their depth.
+    """
+    wanted = of.select("root", "pre").distinct()
+    mine = occ.join(wanted.select("root").distinct(), "root", "left_semi")
+    pairs = ancestors(mine, mine).select("root", F.col("ancestor").alias("pre"), F.col("pre").alias("descendant"))
+    found = pairs.join(wanted, ["root", "pre"], "left_semi")
+    return found.join(occ.select("root", F.col("pre").alias("descendant"), "type"), ["root", "descendant"]).select("root", "pre", "descendant", "type")
 
 
 def descendant_count(occ: DataFrame) -> DataFrame:
@@ -78,11 +97,20 @@ def breadth_first(occ: DataFrame) -> DataFrame:
 
 
 def paths(occ: DataFrame) -> DataFrame:
-    """(root, pre, path): child numbers from the root down to each node."""
-    steps = ancestors(occ, occ).select("root", "pre", F.col("ancestor").alias("at")).unionByName(occ.select("root", "pre", F.col("pre").alias("at")))
-    at = occ.select("root", F.col("pre").alias("at"), "depth", "pos")
-    ordered = steps.join(at, ["root", "at"]).groupBy("root", "pre").agg(F.array_sort(F.collect_list(F.struct("depth", "pos"))).alias("steps"))
-    return ordered.select("root", "pre", F.slice(F.col("steps.pos"), 2, 2**31 - 1).alias("path"))
+    """(root, pre, path): child numbers from the root down to each node, handed down level by level."""
+    return top_down(occ, F.array().cast("array<int>"), lambda above: F.array_append(above, F.col("pos").cast("int")), "path")
+
+
+def packed_path(path: Column) -> Column:
+    """A path as text, two hex digits a step below 255; longer steps follow an ff in eight digits."""
+    step = lambda x: F.when(x < 255, F.lpad(F.hex(x), 2, "0")).otherwise(F.concat(F.lit("FF"), F.lpad(F.hex(x), 8, "0")))
+    return F.array_join(F.transform(path, step), "")
+
+
+def unpacked_path(text: Column) -> Column:
+    """The path that packed_path() wrote."""
+    steps = F.regexp_extract_all(text, F.lit("FF[0-9A-F]{8}|[0-9A-E][0-9A-F]|F[0-9A-E]"), F.lit(0))
+    return F.transform(steps, lambda x: F.conv(F.when(F.length(x) > 2, F.substring(x, 3, 8)).otherwise(x), 16, 10).cast("int"))
 
 
 def node_at_range(occ: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -107,11 +135,9 @@ def without_spaces(occ: DataFrame) -> DataFrame:
 
     Adds pos_with_spaces, so that paths convert either way by a projection.
     """
-    kept = occ.filter(F.col("type") != "spaces")
     order = Window.partitionBy("root").orderBy("pre")
-    spaces = occ.filter(F.col("type") == "spaces").select("root", F.col("pre").alias("s"))
-    inside = kept.alias("a").join(spaces.alias("b"), (F.col("a.root") == F.col("b.root")) & (F.col("b.s") > F.col("a.pre")) & (F.col("b.s") < F.col("a.pre") + F.col("a.size"))).groupBy(F.col("a.root").alias("root"), F.col("a.pre").alias("pre")).agg(F.count("*").alias("gaps"))
-    ranked = kept.join(inside, ["root", "pre"], "left").withColumn("size", F.col("size") - F.coalesce("gaps", F.lit(0))).drop("gaps")
+    counted = subtree_sum(occ, F.when(F.col("type") == "spaces", 1).otherwise(0), "__gaps")
+    ranked = counted.filter(F.col("type") != "spaces").withColumn("size", F.col("size") - F.col("__gaps")).drop("__gaps")
     ranked = ranked.withColumn("new", F.row_number().over(order) - 1)
     ranked = ranked.withColumnRenamed("pos", "pos_with_spaces").withColumn("pos", F.row_number().over(Window.partitionBy("root", "parent").orderBy("pos_with_spaces")) - 1)
     up = ranked.select("root", F.col("pre").alias("parent"), F.col("new").alias("new_parent"))
@@ -127,8 +153,9 @@ def hide(occ: DataFrame, hidden: DataFrame) -> DataFrame:
 
 def enclosing(occ: DataFrame, of: DataFrame, types: list[str]) -> DataFrame:
     """(root, pre, ancestor): the nearest ancestor of one of the types, for nodes of(root, pre)."""
-    near = ancestors(occ, of).filter(F.col("ancestor_type").isin(types))
-    return near.groupBy("root", "pre").agg(F.min_by("ancestor", "up").alias("ancestor"))
+    held = F.struct(F.when(F.col("type").isin(types), F.col("pre")).alias("own"), F.lit(None).cast("long").alias("above"))
+    handed = top_down(occ, held, lambda s: F.struct(F.when(F.col("type").isin(types), F.col("pre")).alias("own"), F.coalesce(s.own, s.above).cast("long").alias("above")), "__s")
+    return handed.join(of.select("root", "pre").distinct(), ["root", "pre"], "left_semi").select("root", "pre", F.col("__s.above").alias("ancestor")).filter("ancestor IS NOT NULL")
 
 
 def sibling_neighbours(occ: DataFrame) -> DataFrame:
@@ -147,3 +174,16 @@ def text_positions(occ: DataFrame) -> DataFrame:
     rows = occ.select("root", "pre", (F.col("pre") + F.col("size") - 1).alias("end_pre"), here.alias("chars")).withColumn("past_char", F.sum("chars").over(run))
     ends = rows.select("root", F.col("pre").alias("end_pre"), "past_char")
     return rows.withColumn("first_char", F.col("past_char") - F.col("chars")).drop("past_char").join(ends, ["root", "end_pre"]).select("root", "pre", "first_char", "past_char")
+
+
+def positions(occ: DataFrame) -> DataFrame:
+    """(root, pre, post, bfs, path, first_char, past_char): every way to say where a node is, to convert between."""
+    order = breadth_first(occ).select("root", "pre", "post", "bfs")
+    return order.join(paths(occ), ["root", "pre"]).join(text_positions(occ), ["root", "pre"])
+
+
+def shared_path(a: Column, b: Column) -> Column:
+    """The path of the lowest node above two paths."""
+    from sylvan.functions.scalars import common_prefix
+
+    return common_prefix(a, b)

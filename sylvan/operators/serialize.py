@@ -71,3 +71,26 @@ def reindented(text, old: str, new: str):
 def indentation(text):
     """A Column: blanks and tabs at the start of the last line of white space."""
     return F.regexp_extract(text, r"(?:^|\n)([ \t]*)[^\n]*$", 1)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Writes rows as CSV with a header, in the shared storage of path."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Writes rows as JSON lines, nested columns nested."""
+    df.write.mode("overwrite").json(path)
+
+
+RELATIONS = "module string, content array<struct<decl:struct<file:string,offset:bigint,len:bigint>,refs:array<struct<file:string,offset:bigint,len:bigint>>>>"
+
+
+def read_relations(spark, path: str) -> DataFrame:
+    """(module, file, offset, len, ref_file, ref_offset, ref_len): reference relations from JSON, a row each.
+
+    A declaration without references has null ref columns.
+    """
+    rows = spark.read.schema(RELATIONS).option("multiLine", True).json(path)
+    each = rows.select("module", F.explode("content").alias("c")).select("module", "c.decl", F.explode_outer("c.refs").alias("r"))
+    return each.select("module", "decl.file", "decl.offset", "decl.len", F.col("r.file").alias("ref_file"), F.col("r.offset").alias("ref_offset"), F.col("r.len").alias("ref_len"))

@@ -20,16 +20,16 @@ ORACLES: dict[str, str] = {}
 
 #: The forest in SQL.
 FOREST = """
-li AS (
+li AS MATERIALIZED (
   SELECT o_custkey AS root, l_orderkey, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-), n_li AS (SELECT l_orderkey, count(*) AS n FROM li GROUP BY 1
-), od AS (
+), n_li AS MATERIALIZED (SELECT l_orderkey, count(*) AS n FROM li GROUP BY 1
+), od AS MATERIALIZED (
   SELECT o_custkey AS root, o_orderkey, o_orderstatus, o_orderdate, coalesce(n, 0) + 1 AS size, row_number() OVER w - 1 AS pos,
          1 + coalesce(sum(coalesce(n, 0) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
   FROM orders LEFT JOIN n_li ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
-), cu AS (SELECT c_custkey AS root, c_mktsegment, 1 + coalesce(sum(size), 0) AS size, coalesce(max(CASE WHEN size > 1 THEN 2 ELSE 1 END), 0) AS height FROM customer LEFT JOIN od ON root = c_custkey GROUP BY 1, 2
-), occ AS (
+), cu AS MATERIALIZED (SELECT c_custkey AS root, c_mktsegment, 1 + coalesce(sum(size), 0) AS size, coalesce(max(CASE WHEN size > 1 THEN 2 ELSE 1 END), 0) AS height FROM customer LEFT JOIN od ON root = c_custkey GROUP BY 1, 2
+), occ AS MATERIALIZED (
   SELECT root, 0::BIGINT AS pre, NULL::BIGINT AS parent, 0::BIGINT AS pos, 0 AS depth, size::BIGINT AS size, height::INT AS height, 'customer' AS type, c_mktsegment AS label FROM cu
   UNION ALL SELECT root, pre::BIGINT, 0, pos, 1, size::BIGINT, CASE WHEN size > 1 THEN 1 ELSE 0 END, 'order', o_orderstatus FROM od
   UNION ALL SELECT li.root, (od.pre + 1 + li.pos)::BIGINT, od.pre::BIGINT, li.pos, 2, 1, 0, 'lineitem', l_returnflag FROM li JOIN od ON l_orderkey = o_orderkey

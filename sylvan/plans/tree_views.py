@@ -104,9 +104,9 @@ def pattern_limited(spark, sf_dir):
 
 #: Contents of orders and customers, and pairs of customers with consecutive keys.
 CONTENTS = f"""{FOREST},
-lc AS (SELECT root, parent, string_agg(label, ',' ORDER BY pos) AS c FROM occ WHERE type = 'lineitem' GROUP BY 1, 2),
-oc AS (SELECT occ.root, occ.pre, occ.pos, occ.size, occ.label || '(' || coalesce(c, '') || ')' AS c FROM occ LEFT JOIN lc ON lc.root = occ.root AND lc.parent = occ.pre WHERE type = 'order'),
-cc AS (SELECT occ.root, occ.size, occ.height, occ.label || '[' || (SELECT string_agg(oc.c, ';' ORDER BY oc.pos) FROM oc WHERE oc.root = occ.root) || ']' AS c FROM occ WHERE type = 'customer'),
+lc AS MATERIALIZED (SELECT root, parent, string_agg(label, ',' ORDER BY pos) AS c FROM occ WHERE type = 'lineitem' GROUP BY 1, 2),
+oc AS MATERIALIZED (SELECT occ.root, occ.pre, occ.pos, occ.size, occ.label || '(' || coalesce(c, '') || ')' AS c FROM occ LEFT JOIN lc ON lc.root = occ.root AND lc.parent = occ.pre WHERE type = 'order'),
+cc AS MATERIALIZED (SELECT occ.root, occ.size, occ.height, occ.label || '[' || (SELECT string_agg(oc.c, ';' ORDER BY oc.pos) FROM oc WHERE oc.root = occ.root) || ']' AS c FROM occ WHERE type = 'customer'),
 pairs AS (SELECT c_custkey AS pair, c_custkey AS src_root, c_custkey + 1 AS dst_root FROM customer)"""
 
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+from sylvan.sources.java import java, trampoline
+
 Node = tuple[int, str, str | None, str | None, int, int]
 
 #: Elements that never have content: fixed values of the HTML standard.
@@ -23,7 +26,7 @@ class _Html(HTMLParser):
         self.lines = [0]
         for line in text.split("\n"):
             self.lines.append(self.lines[-1] + len(line) + 1)
-        self.text, self.open, self.nodes, self.last = text, [], [["document", None, None, 0, len(text), 0]], None
+        self.text, self.open, self.tags, self.nodes = text, [], Counter(), [["document", None, None, 0, len(text), 0]]
         self.feed(text)
         self.close()
 
@@ -38,22 +41,29 @@ class _Html(HTMLParser):
         start, raw = self.at(), self.get_starttag_text() or ""
         self.nodes.append([tag, None, None, start, len(self.text), len(self.open) + 1])
         self.open.append((tag, len(self.nodes) - 1))
+        self.tags[tag] += 1
         for name, value in attrs:
             self.nodes.append(["attribute", f"{name}={value or ''}", name, start, start + len(raw), len(self.open) + 1])
         if tag in VOID:
-            self.nodes[self.open.pop()[1]][4] = start + len(raw)
+            self.shut()[4] = start + len(raw)
+
+    def shut(self) -> list:
+        """The innermost open element's node; no longer open."""
+        tag, i = self.open.pop()
+        self.tags[tag] -= 1
+        return self.nodes[i]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.open and self.open[-1][0] == tag:
-            self.nodes[self.open.pop()[1]][4] = self.at() + len(self.get_starttag_text() or "")
+            self.shut()[4] = self.at() + len(self.get_starttag_text() or "")
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.open):
+        if self.tags[tag]:
             while self.open:
-                t, i = self.open.pop()
-                self.nodes[i][4] = self.at() + (len(tag) + 3 if t == tag else 0)
-                if t == tag:
+                same = self.open[-1][0] == tag
+                self.shut()[4] = self.at() + (len(tag) + 3 if same else 0)
+                if same:
                     break
 
     def handle_data(self, data):
@@ -78,29 +88,60 @@ def html(text: str) -> Iterator[Node]:
         yield depth, kind, label, role, start, min(end, len(text))
 
 
+_JSON = re.compile(r"""(?P<space>[ \t\n\r]+)|(?P<string>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[\da-fA-F]{4}))*")|(?P<number>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])|(?P<word>true|false|null)\b|(?P<mark>[\[\]{},:])""")
+
+
 def json_tree(text: str) -> Iterator[Node]:
-    """object / pair / array / string / number / true / false / null; invalid JSON is one ERROR leaf."""
+    """object / pair / array / string / number / true / false / null; invalid JSON is one ERROR leaf.
+
+    A pair carries its key as label, a number its text. Nesting is bounded by memory only.
+    """
     try:
-        value = json.loads(text)
+        yield from map(tuple, _json_nodes(text))
     except ValueError:
         yield 0, "ERROR", text, None, 0, len(text)
-        return
-
-    def walk(v, depth, role):
-        if isinstance(v, dict):
-            yield depth, "object", None, role, 0, len(text)
-            for k, x in v.items():
-                yield depth + 1, "pair", k, None, 0, len(text)
-                yield from walk(x, depth + 2, "value")
-        elif isinstance(v, list):
-            yield depth, "array", None, role, 0, len(text)
-            for x in v:
-                yield from walk(x, depth + 1, None)
-        else:
-            kind = {True: "true", False: "false", None: "null"}.get(v, "x") if v is None or isinstance(v, bool) else ("string" if isinstance(v, str) else "number")
-            yield depth, kind, None if kind in ("true", "false", "null") else str(v), role, 0, len(text)
 
-    yield from walk(value, 0, None)
+
+def _json_nodes(text: str) -> list[list]:
+    out, open_, at, wants = [], [], 0, "value"  # wants: value, first (value or ]), key, name (key or }), colon, next
+    while at < len(text):
+        m = _JSON.match(text, at)
+        if not m:
+            raise ValueError(at)
+        kind, t, start, at = m.lastgroup, m[0], m.start(), m.end()
+        if kind == "space":
+            continue
+        depth, in_pair = len(open_), bool(open_) and out[open_[-1]][1] == "pair"
+        if wants in ("value", "first") and (kind in ("string", "number", "word") or t in ("{", "[")):
+            role = "value" if in_pair else None
+            if kind == "mark":
+                out.append([depth, "object" if t == "{" else "array", None, role, start, at])
+                open_.append(len(out) - 1)
+                wants = "name" if t == "{" else "first"
+                continue
+            label = json.loads(t) if kind == "string" else (t if kind == "number" else None)
+            out.append([depth, t if kind == "word" else kind, label, role, start, at])
+        elif kind == "string" and wants in ("key", "name"):
+            out.append([depth, "pair", json.loads(t), None, start, at])
+            open_.append(len(out) - 1)
+            wants = "colon"
+            continue
+        elif t == ":" and wants == "colon":
+            wants = "value"
+            continue
+        elif t == "," and wants == "next" and open_:
+            wants = "key" if out[open_[-1]][1] == "object" else "value"
+            continue
+        elif t in ("}", "]") and open_ and wants in ("next", "name" if t == "}" else "first") and out[open_[-1]][1] == ("object" if t == "}" else "array"):
+            out[open_.pop()][5] = at
+        else:
+            raise ValueError(start)
+        if open_ and out[open_[-1]][1] == "pair":
+            out[open_.pop()][5] = at
+        wants = "next"
+    if open_ or not out:
+        raise ValueError(at)
+    return out
 
 
 _SEXP = re.compile(r"""\s+|[()]|"(?:[^"\\]|\\.)*"|[^\s()"]+""")
@@ -133,22 +174,23 @@ def sexp(text: str) -> Iterator[Node]:
                 yield tuple(pending)
                 pending = None
             role = t[:-1]
+    if pending:
+        yield tuple(pending)
 
 
-_JAVA = re.compile(
+_TOKENS = re.compile(
     r"""(?P<spaces>\s+)|(?P<line_comment>//[^\n]*)|(?P<block_comment>/\*.*?\*/)|(?P<string_literal>"(?:[^"\\\n]|\\.)*")|(?P<character_literal>'(?:[^'\\\n]|\\.)*')"""
     r"""|(?P<number>\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<punct>.)""",
     re.S,
 )
-_C = re.compile(r"(?P<preprocessor>^[ \t]*\#(?:[^\n\\]|\\.)*)|" + _JAVA.pattern, re.S | re.M)
+_C = re.compile(r"(?P<preprocessor>^[ \t]*\#(?:[^\n\\]|\\.)*)|" + _TOKENS.pattern, re.S | re.M)
 #: Words of bracket languages with a role in the coarse grammar below: fixed values.
 _TYPES = {
-    "java": frozenset(("class", "interface", "enum", "record")),
     "cpp": frozenset(("class", "struct", "enum", "union", "namespace")),
     "c": frozenset(("struct", "enum", "union")),
     "ts": frozenset(("class", "interface", "enum", "namespace", "function")),
 }
-_IMPORTS = {"java": ("import", "package"), "cpp": ("using",), "c": (), "ts": ("import", "export")}
+_IMPORTS = {"cpp": ("using",), "c": (), "ts": ("import", "export")}
 _PLAIN = frozenset("public private protected static final new import package void int boolean char long double float const using typedef let var async".split())
 _CONTROL = {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "switch": "switch_expression", "try": "try_statement", "catch": "catch_clause", "case": "switch_label", "else": "else", "return": "return_statement", "throw": "throw_statement"}
 _BRACKETS = {"{": ("block", "}"), "(": ("parenthesized", ")"), "[": ("brackets", "]")}
@@ -162,7 +204,7 @@ def brackets(text: str, lang: str) -> Iterator[Node]:
     a full grammar. Every character is in exactly one leaf, so leaves reprint the source.
     """
     types, imports = _TYPES[lang], _IMPORTS[lang]
-    leaves = [(m.lastgroup, m[0], m.start(), m.end()) for m in (_C if lang in ("c", "cpp") else _JAVA).finditer(text)]
+    leaves = [(m.lastgroup, m[0], m.start(), m.end()) for m in (_C if lang in ("c", "cpp") else _TOKENS).finditer(text)]
     out: list[list] = []
 
     def emit(depth, kind, label, role, start, end):
@@ -215,14 +257,14 @@ def brackets(text: str, lang: str) -> Iterator[Node]:
             node = emit(depth, kind, None, None, leaves[i][2], 0)
             named = None
             if kind.endswith("_declaration") and kind != "variable_declaration":
-                named = next((j + 1 for j in range(i, min(i + 40, len(leaves))) if leaves[j][1] in types), None) if kind != "method_declaration" else None
+                named = next((j + 1 for j in range(i, len(leaves)) if leaves[j][1] in types), None) if kind != "method_declaration" else None
             while i < len(leaves) and leaves[i][1] != closer:
                 group, t = leaves[i][:2]
                 if group == "punct" and t in _BRACKETS:
                     inner, shut = _BRACKETS[t]
                     sub = emit(depth + 1, inner, None, "body" if t == "{" else None, leaves[i][2], 0)
                     leaf(i, depth + 2)
-                    i = sequence(i + 1, depth + 2, shut) if t == "{" else tokens(i + 1, depth + 2, shut)
+                    i = yield (sequence if t == "{" else tokens)(i + 1, depth + 2, shut)
                     if i < len(leaves):
                         leaf(i, depth + 2)
                         i += 1
@@ -248,7 +290,7 @@ def brackets(text: str, lang: str) -> Iterator[Node]:
                 inner, shut = _BRACKETS[leaves[i][1]]
                 sub = emit(depth, inner, None, None, leaves[i][2], 0)
                 leaf(i, depth + 1)
-                i = (sequence if leaves[i][1] == "{" else tokens)(i + 1, depth + 1, shut)
+                i = yield (sequence if leaves[i][1] == "{" else tokens)(i + 1, depth + 1, shut)
                 if i < len(leaves):
                     leaf(i, depth + 1)
                     i += 1
@@ -261,15 +303,10 @@ def brackets(text: str, lang: str) -> Iterator[Node]:
     emit(0, "program", None, None, 0, len(text))
     i = 0
     while i < len(leaves):
-        i = sequence(i, 1, None)
+        i = trampoline(sequence(i, 1, None))
     yield from map(tuple, out)
 
 
-def java(text: str) -> Iterator[Node]:
-    """Java by the coarse front-end."""
-    return brackets(text, "java")
-
-
 def cpp(text: str) -> Iterator[Node]:
     """C++ by the coarse front-end; preprocessor lines are leaves."""
     return brackets(text, "cpp")
@@ -291,7 +328,7 @@ _ATTR = re.compile(r"""([^\s=]+)\s*=\s*("[^"]*"|'[^']*')""")
 
 def xml(text: str) -> Iterator[Node]:
     """Elements with a name child, attributes, text, comments; stray end tags are ERROR leaves."""
-    nodes, open_ = [[0, "document", None, None, 0, len(text)]], []
+    nodes, open_, tags = [[0, "document", None, None, 0, len(text)]], [], Counter()
     for m in _XML.finditer(text):
         kind, depth, (a, b) = m.lastgroup, len(open_) + 1, m.span()
         if m["tag"] is not None:
@@ -300,11 +337,13 @@ def xml(text: str) -> Iterator[Node]:
             for attr in _ATTR.finditer(m["attrs"]):
                 nodes.append([depth + 1, "attribute", attr[2][1:-1], attr[1], m.start("attrs") + attr.start(), m.start("attrs") + attr.end()])
             if not m["self"]:
+                tags[m["tag"]] += 1
                 open_.append((m["tag"], len(nodes) - 2 - sum(1 for _ in _ATTR.finditer(m["attrs"]))))
         elif m["end"] is not None:
-            if any(t == m["end"] for t, _ in open_):
+            if tags[m["end"]]:
                 while True:
                     tag, i = open_.pop()
+                    tags[tag] -= 1
                     nodes[i][5] = b
                     if tag == m["end"]:
                         break

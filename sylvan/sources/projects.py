@@ -5,6 +5,7 @@ files: (path, text). entries: (version, path, blob). blobs: (blob, text).
 
 from __future__ import annotations
 
+import subprocess
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,3 +102,69 @@ def make_targets(files: DataFrame) -> DataFrame:
     target = occ.filter("type = 'target'").select("root", "parent", F.col("label").alias("target"))
     need = occ.filter("type = 'prerequisite'").select("root", "parent", F.col("label").alias("prerequisite"))
     return target.join(need, ["root", "parent"], "left").select(folder_of(F.col("root")).alias("folder"), "target", "prerequisite")
+
+
+def _git(path: str, *args: str, given: bytes | None = None) -> bytes:
+    return subprocess.run(["git", "-C", path, *args], input=given, capture_output=True, check=True).stdout
+
+
+def read_repository(spark: SparkSession, path: str, head: str = "HEAD", limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(commits, entries, blobs) of a git repository in storage that all executors reach.
+
+    commits(commit, parents, time, tz_minutes, tree, message); entries(version, path, blob);
+    blobs(blob, text). The driver lists commit ids; trees and contents are read in parallel,
+    each content once however many commits hold it. Nothing is fetched from elsewhere.
+    """
+    ids = _git(path, "rev-list", *(["-n", str(limit)] if limit is not None else []), head).decode().split()
+    named = spark.createDataFrame([(i,) for i in ids], "commit string").repartition(max(1, min(len(ids), 256)))
+
+    def commits(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for c in pdf["commit"]:
+                parents, when, tz, tree, message = _git(path, "show", "-s", "--format=%P%x00%ct%x00%ci%x00%T%x00%B", c).decode("utf-8", "replace").split("\0", 4)
+                sign = tz.rsplit(" ", 1)[1]
+                rows.append((c, parents.split(), int(when), (-1 if sign[0] == "-" else 1) * (int(sign[1:3]) * 60 + int(sign[3:5])), tree, message.strip()))
+            yield pd.DataFrame(rows, columns=["commit", "parents", "time", "tz_minutes", "tree", "message"])
+
+    def listed(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for c in pdf["commit"]:
+                rows = [line.split("\t", 1) for line in _git(path, "ls-tree", "-r", "-z", c).decode("utf-8", "replace").split("\0") if line]
+                yield pd.DataFrame([(c, name, meta.split()[2]) for meta, name in rows if meta.split()[1] == "blob"], columns=["version", "path", "blob"])
+
+    def contents_of(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            yield pd.DataFrame([(b, _git(path, "cat-file", "blob", b).decode("utf-8", "replace")) for b in pdf["blob"]], columns=["blob", "text"])
+
+    entries = named.mapInPandas(listed, "version string, path string, blob string")
+    blobs = entries.select("blob").distinct().mapInPandas(contents_of, "blob string, text string")
+    return named.mapInPandas(commits, "commit string, parents array<string>, time long, tz_minutes int, tree string, message string"), entries, blobs
+
+
+def with_fork(commits: DataFrame, fork: DataFrame) -> DataFrame:
+    """The commits of a repository and of a fork of it, each once."""
+    return commits.unionByName(fork.join(commits.select("commit"), "commit", "left_anti"))
+
+
+def pull_requests(requests: DataFrame, commits: DataFrame) -> DataFrame:
+    """(number, merge, head): merged requests(number, merge, head, merged) whose merge commit is known."""
+    return requests.filter("merged").join(commits.select(F.col("commit").alias("merge")), "merge", "left_semi").select("number", "merge", "head")
+
+
+def folder_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(pair, src_root, dst_root): files(path, text) of two folders by path, as roots "before:path" and "after:path"."""
+    both = before.select("path").join(after.select("path"), "path")
+    return both.select(F.col("path").alias("pair"), F.concat(F.lit("before:"), "path").alias("src_root"), F.concat(F.lit("after:"), "path").alias("dst_root"))
+
+
+def parse_sides(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Occurrences of both folders' files under the roots of folder_pairs()."""
+    side = lambda df, name: df.select(F.concat(F.lit(name + ":"), "path").alias("path"), "text")
+    return parse_files(side(before, "before").unionByName(side(after, "after")))

@@ -60,3 +60,38 @@ def typed(occ: DataFrame) -> DataFrame:
 def declarations(occ: DataFrame) -> DataFrame:
     """Rows of occ that declare something."""
     return occ.filter(F.array_contains(abstract_types(F.col("type")), "declaration"))
+
+
+def of_grammar(spark, text: str, lang: str) -> DataFrame:
+    """(lang, type, is_named, is_hidden, supertypes, fields) from a grammar's node types as JSON.
+
+    The JSON is a list of {type, named, subtypes?, fields?}. A type with subtypes is one of
+    their supertypes; types that begin with _ are hidden.
+    """
+    import json
+
+    nodes = json.loads(text)
+    above: dict[str, list[str]] = {}
+    for n in nodes:
+        for sub in n.get("subtypes", ()):
+            above.setdefault(sub["type"], []).append(n["type"])
+    rows = [(lang, n["type"], bool(n["named"]), n["type"].startswith("_"), sorted(above.get(n["type"], [])), sorted(n.get("fields", {}))) for n in nodes]
+    return spark.createDataFrame(rows, "lang string, type string, is_named boolean, is_hidden boolean, supertypes array<string>, fields array<string>")
+
+
+def predicate(name: str) -> Column:
+    """What scripts ask of a node by name, as a condition on the columns of occ."""
+    kind = F.col("type")
+    conditions = {
+        "is_branch": lambda: shared_class(kind) == "branch",
+        "is_comment": lambda: shared_class(kind) == "comment",
+        "is_type_decl": lambda: shared_class(kind) == "type_declaration",
+        "is_spaces": lambda: kind == "spaces",
+        "is_nl": lambda: (kind == "spaces") & F.coalesce(F.col("label").contains("\n"), F.lit(False)),
+        "is_file": lambda: kind.isin("program", "translation_unit", "document", "source_file", "makefile"),
+        "is_directory": lambda: kind.isin("directory", "folder", "module"),
+        "is_java_file": lambda: kind == "program",
+    }
+    if name not in conditions:
+        raise ValueError(f"unknown predicate {name}")
+    return conditions[name]()

@@ -76,14 +76,6 @@ def test_lattice(spark):
     assert {r.node: r.component for r in g.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
 
 
-def test_smells_compile(spark):
-    from sylvan.operators import patterns
-
-    occ = parse(spark.createDataFrame([("a", "class T { void t() {} void u() { assertEquals(1); assertTrue(2); sleep(3); } }")], "k string, text string"), "k", "text", "java").cache()
-    found = {name: patterns.matches(occ, q).count() for name, q in mining.SMELLS.items()}
-    assert found["empty_test"] == 1 and found["assertion_roulette"] >= 1 and found["sleepy_test"] == 1
-
-
 def test_incremental_ingest(spark, tmp_path):
     source, store = str(tmp_path / "in"), str(tmp_path / "store")
     frame = lambda rows: spark.createDataFrame(rows, "oid string, text string")

@@ -47,15 +47,6 @@ def test_following_falls_back_to_an_ancestor(spark):
     assert out == {("a", 0): (0, "direct"), ("a", 2): (0, "missing"), ("zz", 0): (None, "last")}
 
 
-def test_flags_tell_what_changed(spark):
-    occ, pairs = trees(spark)
-    occ = occ.join(metrics.merkle(occ), ["root", "pre"])
-    links = diff.mappings(pairs, occ, "simple")
-    followed = history.follow(occ.filter("root = 'a'"), pairs, links, occ)
-    rows = history.flags(followed, occ).collect()
-    assert rows and all(r.top and not r.upd for r in rows)
-
-
 def test_types_and_supertypes_in_patterns(spark):
     rows = [("r", 0, None, 0, 0, 2, 1, "block", None), ("r", 1, 0, 0, 1, 1, 0, "binary_expression", "x")]
     occ = spark.createDataFrame(rows, "root string, pre long, parent long, pos int, depth int, size long, height int, type string, label string").withColumn("role", F.lit(None).cast("string"))

@@ -95,7 +95,13 @@ def test_no_space_view(occ):
         ('(method_declaration name: (identifier (#EQ? "f")))', 1),
         ('(method_declaration name: (identifier (#NOT-EQ "f")))', 2),
         ('(method_declaration (block . "{" . "}"))', 1),
-        ('(block (expression_statement (identifier) @a (#match? @a "^assert")) . (expression_statement))', 1),
+        ('(block (expression_statement (method_invocation name: (identifier) @a (#match? @a "^assert"))) . (expression_statement))', 1),
+        ('(if_statement condition: (parenthesized_expression (binary_expression left: (identifier) right: (_) @r)))', 1),
+        ("(expression/method_invocation arguments: (argument_list (_)+ @args))", 5),
+        ("(block (statement/_)+ @s)", 3),
+        ("(method_declaration body: (block . (expression_statement) @a . (expression_statement) @b .))", 1),
+        ('((identifier) @x (#eq? @x "x"))', 3),
+        ("(class_body ((method_declaration) @a . (method_declaration) @b))", 2),
         ("(class_declaration !name)", 0),
         ("[(if_statement) (for_statement)] @x", 2),
         ('((line_comment) . (class_declaration))', 1),
