@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sylvan.functions.scalars import identifier_format, qgram_similarity, summarize_center
 from sylvan.operators import aggregates, diff, graph, history, metrics, mining, navigation, patterns, references, serialize
-from sylvan.sources.trees import distinct_contents, order_forest, parse
+from sylvan.sources.parsers import json_tree
+from sylvan.sources.trees import distinct_contents, encode, order_forest, parse
 from sylvan.streaming import feed
 
 QUERIES: dict = {}
@@ -363,9 +364,6 @@ def mined_queries(spark, sf_dir):
 def _shapes(frames):
     import pandas as pd
 
-    from sylvan.sources.parsers import json_tree
-    from sylvan.sources.trees import encode
-
     for pdf in frames:
         out = []
         for text in pdf.props:
@@ -392,4 +390,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from sylvan.plans import tree_views  # noqa: E402,F401  registers its queries here
+from sylvan.plans import histories, pattern_views, tree_views  # noqa: E402,F401  they register their queries here
