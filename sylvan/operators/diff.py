@@ -670,3 +670,20 @@ def focus(actions: DataFrame, occ: DataFrame, pairs: DataFrame, kinds: list[str]
     acts = actions.filter(F.col("kind").isin(kinds) & ~F.col("node_new")).join(pairs.select("pair", F.col("src_root").alias("root")), "pair").withColumn("pre", F.col("node"))
     files = enclosing(occ, acts.select("root", "pre"), file_types)
     return acts.join(files, ["root", "pre"], "left").select("pair", "kind", "node", "label", F.col("ancestor").alias("file"))
+
+
+def nested(t: Tree):
+    """A tree as nested (type, label, [children]) tuples."""
+    made: list = [None] * len(t.type)
+    for i in range(len(t.type) - 1, -1, -1):
+        made[i] = (t.type[i], t.label[i], [made[c] for c in t.children[i]])
+    return made[0]
+
+
+def verified(pairs: DataFrame, occ: DataFrame, algorithm: str = "greedy_100") -> DataFrame:
+    """(pair, same): whether the source tree after its script is the destination tree."""
+
+    def work(s, d):
+        return {"same": [apply(s, d, edit_script(s, d, match(s, d, algorithm))) == [nested(d)]]}
+
+    return _by_pair(pairs, occ, work, "same boolean")

@@ -112,7 +112,7 @@ def _step(tokens, i, late):
         step = Step(types=[x for o in options for x in o.types]) if plain else Step(options=options)
     elif t == "(":
         i += 1
-        if tokens[i] in ("(", "[", "_", ".") and not (tokens[i] == "_" and tokens[i + 1] != "(") or tokens[i].startswith('"') or tokens[i].endswith(":"):
+        if tokens[i] in ("(", "[", ".") or tokens[i].startswith('"') or tokens[i].endswith(":"):
             step = Step(types=[], any_node=True, group=True)  # siblings, below whatever parent
         else:
             above, _, name = tokens[i].rpartition("/")

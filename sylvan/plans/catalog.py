@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvan.functions.scalars import identifier_format, qgram_similarity, summarize_center
+from sylvan.functions.scalars import identifier_format, qgram_similarity, summarize_border, summarize_center, text_similarity, without_comments
 from sylvan.operators import aggregates, diff, graph, history, metrics, mining, navigation, patterns, references, serialize
+from sylvan.operators.lineage import cut
 from sylvan.sources.parsers import json_tree
 from sylvan.sources.trees import distinct_contents, encode, order_forest, parse
 from sylvan.streaming import feed
@@ -331,13 +332,33 @@ def html_metrics(spark, sf_dir):
     return occ.filter("pre = 0").select("root", "size", "height").join(loc, "root")
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t FROM pages),
+u AS (SELECT page_id, unnest(h) AS h, unnest(t) AS t FROM l), w AS (SELECT page_id, h, unnest(string_split_regex(t, '&[a-z]+;')) AS t FROM u)
+SELECT page_id AS root, 'href=' || replace(h, '&amp;', '&') AS href, t AS text FROM w WHERE trim(t) <> ''"""
+)
 def html_links(spark, sf_dir):
+    """Links in lists, by a pattern with a role, as address and text."""
+    occ = cut(parse(load(spark, sf_dir, "pages"), "page_id", "html", "html"))
+    found = patterns.matches(occ, "(li (a href: (attribute) @href (text) @text))")
+    label = lambda name: occ.select("root", F.col("pre").alias(name + "_pre"), F.col("label").alias(name))
+    at = found.select("root", *(graph.captured(found, n).alias(n + "_pre") for n in ("href", "text")))
+    return at.join(label("href"), ["root", "href_pre"]).join(label("text"), ["root", "text_pre"]).select("root", "href", "text")
+
+
+@query(
+    r"""WITH c AS (SELECT page_id, regexp_replace(html, '(<(script|style)>).*?(</)', '\1\3', 'g') AS h FROM pages),
+t AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS type FROM c UNION ALL SELECT page_id, unnest(list_transform(regexp_extract_all(h, ' [a-z]+="'), lambda x: 'attribute')) FROM c
+UNION ALL SELECT page_id, unnest(list_transform(regexp_extract_all(regexp_replace(h, '<[^>]*>', '', 'g'), '&[a-z]+;'), lambda x: 'entity')) FROM c UNION ALL SELECT page_id, unnest(list_transform(regexp_extract_all(h, '<!--'), lambda x: 'comment')) FROM c)
+SELECT page_id AS root, type, count(*) AS n FROM t GROUP BY 1, 2"""
+)
+def html_node_counts(spark, sf_dir):
+    """How many nodes of each type parsed pages have: elements, attributes, entities, comments."""
     occ = parse(load(spark, sf_dir, "pages"), "page_id", "html", "html")
-    return patterns.matches(occ, "(li (a href: (attribute) @href (text) @text))")
+    return occ.filter(~F.col("type").isin("document", "text", "spaces", "doctype")).groupBy("root", "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT sha256(props) AS root, '(object (pair ' || '\"' || regexp_extract(props, '\"([^\"]*)\"', 1) || '\" (number \"' || regexp_extract(props, ':\\s*([0-9]+)', 1) || '\")))' AS sexp FROM (SELECT DISTINCT props FROM events)")
 def event_property_trees(spark, sf_dir):
     contents = distinct_contents(load(spark, sf_dir, "events"), "props")
     return serialize.sexpressions(parse(contents, "content", "props", "json"))
@@ -352,7 +373,7 @@ def turn_differences(spark, sf_dir):
     return diff.diff_pairs(pairs, occ, "simple")
 
 
-@query()
+@query("SELECT q AS query, level, n AS examples FROM (SELECT count(DISTINCT props) AS n FROM events) CROSS JOIN (VALUES ('(object (pair (number)))', 0), ('(object (pair))', 1), ('(object)', 2)) v(q, level)")
 def mined_queries(spark, sf_dir):
     """Generalised queries over the shapes of event properties, with the examples they cover."""
     props = load(spark, sf_dir, "events").select("props").distinct()
@@ -373,11 +394,28 @@ def _shapes(frames):
         yield pd.DataFrame(out, columns=["example", "query"])
 
 
-@query("WITH p AS (SELECT DISTINCT p_type FROM part) SELECT p_type, CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE NULL END AS same FROM p")
+_GRAMS = "list_transform(range(1, len({0}) - 1), lambda i: {0}[i:i + 2])"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT p_type, 'ECONOMY' AS e FROM part), g AS (SELECT p_type, list_distinct({_GRAMS.format('p_type')}) AS x, list_distinct({_GRAMS.format('e')}) AS y,
+{_GRAMS.format("('##' || p_type || '##')")} AS a, {_GRAMS.format("('##' || e || '##')")} AS b FROM p)
+SELECT p_type, CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 9) END AS dice,
+CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE round(1 - list_sum(list_transform(list_distinct(a || b), lambda k: abs(len(list_filter(a, lambda q: q = k)) - len(list_filter(b, lambda q: q = k))))) / (len(a) + len(b)), 9) END AS qgram FROM g"""
+)
 def label_similarity(spark, sf_dir):
+    """How alike labels are by common q-grams, as sets and as multisets with padded ends."""
     types = load(spark, sf_dir, "part").select("p_type").distinct()
-    score = qgram_similarity(F.col("p_type"), F.lit("ECONOMY"))
-    return types.select("p_type", F.when(score == 1.0, score).alias("same"))
+    to = F.lit("ECONOMY")
+    return types.select("p_type", F.round(qgram_similarity(F.col("p_type"), to), 9).alias("dice"), F.round(text_similarity(F.col("p_type"), to), 9).alias("qgram"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) <= 9 THEN p_name ELSE '…' || substr(p_name, (floor((length(p_name) - 7) / 2) + 1)::INT, 7) || '…' END AS middle, left(regexp_replace('(a) ; ' || p_name || chr(10) || '(b)', ';[^' || chr(10) || ']*', ''), 20) AS bare FROM part")
+def shortened_names(spark, sf_dir):
+    """Texts cut at both ends, query texts without comments."""
+    p = load(spark, sf_dir, "part")
+    bare = without_comments(F.concat(F.lit("(a) ; "), F.col("p_name"), F.lit("\n(b)")))
+    return p.select("p_partkey", summarize_border(F.col("p_name"), 9).alias("middle"), F.left(bare, F.lit(20)).alias("bare"))
 
 
 def queries() -> dict:
@@ -390,4 +428,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from sylvan.plans import histories, pattern_views, tree_views  # noqa: E402,F401  they register their queries here
+from sylvan.plans import histories, java_views, pattern_views, tree_views  # noqa: E402,F401  they register their queries here

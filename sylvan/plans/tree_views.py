@@ -169,6 +169,17 @@ def turn_edit_scripts(spark, sf_dir):
     return diff.script_text(diff.actions(pairs, occ, "simple"))
 
 
+@query("SELECT conv_id || '.' || turn AS pair, a AS algorithm, true AS same FROM conversations CROSS JOIN (VALUES ('simple'), ('xy'), ('subtree')) v(a) WHERE turn > 0")
+def turn_scripts_apply(spark, sf_dir):
+    """Whether a turn after its edit script is the next turn: always, whichever algorithm links the trees."""
+    pairs, occ = turn_trees(spark, sf_dir)
+    occ, out = cut(occ), None
+    for name in ("simple", "xy", "subtree"):
+        rows = diff.verified(pairs, occ, name).withColumn("algorithm", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def turn_trees(spark, sf_dir):
     """Pairs of consecutive turns and their trees of lines and words."""
     from sylvan.sources.trees import parse

@@ -23,6 +23,7 @@ def rows(found):
         ("(a (b) (c))", "(a (b) . (c))", 1),
         ("(a (b) (d) (c))", "(a ((b) . (c)))", 0),
         ("(a (x) (b) (c))", "((b) @b . (c) @c)", 1),
+        ("(k (a (b) (c)))", "(k (_ (b) . (c)))", 1),
         ("(a (b) (c) (b))", "(a [((b) . (c)) ((c) . (b))])", 1),
         ("(a (b) (c))", '(a (b) @x (c) @x (#any-eq? @x "n"))', 0),
         ('(a (b "m") (c "n"))', '(a (b) @x (c) @x (#any-eq? @x "n"))', 1),
