@@ -27,6 +27,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of few rows, so that a worker holds few texts and results at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def shared_folder(spark) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 

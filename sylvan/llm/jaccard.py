@@ -24,11 +24,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import cut, table
+from sylvan.llm.common import cut, slices, table
 from sylvan.llm.components import components
 
-#: Classes in a block, columns multiplied at a time, and words whose hashes a worker remembers.
-BLOCK, COLUMNS, CACHE = 128, 4096, 200_000
+#: Classes in a block, and tokens of their sets, about; columns multiplied at a time, and words
+#: whose hashes a worker remembers.
+BLOCK, TOKENS, COLUMNS, CACHE = 128, 1_000_000, 4096, 200_000
 #: Rounds in which labels spread through shared tokens when groups form.
 ROUNDS = 2
 #: Prefix tokens that two sets that link must share, where their sizes allow it.
@@ -124,7 +125,7 @@ def token_sets(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches):
         shingles = Shingles(join.words)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 own = shingles.of(text)
@@ -157,7 +158,7 @@ def shared_prefixes(tokens: DataFrame, join: Join) -> DataFrame:
 
 
 def blocks(prefixes: DataFrame, join: Join) -> DataFrame:
-    """(rep, block): classes that share prefix tokens, directly or by few others, in bounded blocks.
+    """(rep, block): classes that share prefix tokens, directly or by few others, in blocks of bounded size.
 
     Each round hands the least label among a token's classes to all of them. A group that is
     still in parts after the rounds only opens more pairs of blocks.
@@ -168,8 +169,8 @@ def blocks(prefixes: DataFrame, join: Join) -> DataFrame:
         rows = prefixes.select("token", "rep").join(labels, "rep")
         least = rows.groupBy("token").agg(F.min("label").alias("least"))
         labels = cut(prefixes.select("token", "rep").join(least, "token").groupBy("rep").agg(F.min("least").alias("label")))
-    labels = labels.join(prefixes.select("rep", band.alias("band")).distinct(), "rep")
-    parts = labels.groupBy("label", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    labels = labels.join(prefixes.select("rep", "n", band.alias("band")).distinct(), "rep")
+    parts = labels.groupBy("label", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
     return labels.join(parts, ["label", "band"]).select("rep", F.xxhash64("label", "band", part).alias("block"))
 
@@ -191,20 +192,26 @@ def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
     """
     same = left is right or (len(left) == len(right) and bool((left == right).all()))
     sizes = np.array([len(s) for s in sets])
-    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+    del order
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    at = np.cumsum(first, dtype=np.int32) - 1  # entries are sorted by token from here on
+    del tokens, first
     is_left = np.isin(np.arange(len(sets)), left)
+    counts = np.bincount(at)
     if same:
-        meets = np.bincount(at, minlength=len(tokens)) > 1
+        meets = counts > 1
     else:
-        meets = (np.bincount(at[is_left[owner]], minlength=len(tokens)) > 0) & (np.bincount(at[~is_left[owner]], minlength=len(tokens)) > 0)
+        of_left = np.bincount(at[is_left[owner]], minlength=len(counts))
+        meets = (of_left > 0) & (of_left < counts)
     # A link needs percent of a set's own tokens in the other side's union.
-    able = 100 * np.bincount(owner, meets[at], len(sets)) >= percent * sizes
-    column = np.cumsum(meets) - 1
+    able = 100 * np.bincount(owner[meets[at]], minlength=len(sets)) >= percent * sizes
+    column = np.cumsum(meets, dtype=np.int32) - 1
     kept = meets[at] & able[owner]
     owner, at = owner[kept], column[at[kept]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
     rows, cols = left[able[left]], right[able[right]]
     row_of, col_of = np.full(len(sets), -1), np.full(len(sets), -1)
     row_of[rows], col_of[cols] = np.arange(len(rows)), np.arange(len(cols))
@@ -235,7 +242,7 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, pairs: DataFr
 
     def sets_of(batches):
         shingles = Shingles(join.words)
-        for batch in batches:
+        for batch in slices(batches):
             own = [shingles.of(t) for t in batch.column("text").to_pylist()]
             right = pa.array([signature(s) == sig for s, sig in zip(own, batch.column("sig").to_pylist())], pa.bool_())
             out = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("block"), pa.array([s.tobytes() for s in own], pa.binary())], ["rep", "copies", "block", "tokens"])

@@ -69,6 +69,7 @@ def test_join_loses_no_link(spark, words, percent):
 
 def test_large_groups_are_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "TOKENS", 150)
     rows = families(9)
     found = jaccard.jaccard_components(documents(spark, rows), jaccard.Join(3, 70)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found} == brute(rows, 3, 70)
