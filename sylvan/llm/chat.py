@@ -82,7 +82,9 @@ def format_chat(conversations: DataFrame, spec: dict = TEMPLATE) -> DataFrame:
     turns so far follow the template's order). Turns are taken by turn, then role, then
     text; repeated rows are turns of their own. Null text and null role are empty, a null
     conv_id is a conversation. Invalid conversations are formatted too and carry valid =
-    false. Rows stream through sorted partitions, so no conversation is held in memory.
+    false. Rows stream through sorted partitions, so no conversation is held in memory; one
+    turn is, whole, however long. Other columns are ignored, whatever their names; an empty
+    table gives no segments.
     """
     import pandas as pd
 

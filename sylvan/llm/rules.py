@@ -1,7 +1,8 @@
 """Quality rules: plain counts, then divergence from language references.
 
 A document's histograms of character classes and of common words are compared with those
-of its language by the Jensen-Shannon distance. References are sums over the whole corpus.
+of its language by the Jensen-Shannon distance. References are sums over the whole corpus:
+every language that the table names has one, and its common words are its most frequent ones.
 """
 
 from __future__ import annotations
@@ -10,19 +11,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import table
+from sylvan.llm.common import cut, table
 
-#: Common words by language: fixed values.
-COMMON_WORDS = {
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were all there one we been has when who will no more if out so said what up its about into than them can only other",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son ou elle mais comme on tout nous sa cette ont être leur aux fait si deux même ses d l",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi",
-}
-WORDS = {lang: list(dict.fromkeys(w.encode() for w in text.split())) for lang, text in COMMON_WORDS.items()}
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Character classes by UTF-8 byte: lower, upper, digit, blank, sentence mark, other ASCII, start of a longer character.
@@ -36,7 +29,11 @@ CLASS_OF_BYTE = np.eye(CLASSES + 1, dtype=np.int64)[_CLASS][:, :CLASSES]
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the base rules and of the distances (0 to 1, base-2 Jensen-Shannon)."""
+    """Limits of the base rules and of the distances (0 to 1, base-2 Jensen-Shannon).
+
+    A language's reference has its common_words most frequent words; the `languages` with
+    most words have one, if they have reference_words at least.
+    """
 
     least_words: int = 20
     repeat_percent: int = 30
@@ -44,7 +41,10 @@ class Rules:
     guard_chars: int = 200
     class_distance: float = 0.3
     guard_words: int = 50
-    word_distance: float = 0.4
+    word_distance: float = 0.5
+    common_words: int = 64
+    languages: int = 100
+    reference_words: int = 1000
 
 
 def class_counts(data: bytes) -> np.ndarray:
@@ -52,9 +52,9 @@ def class_counts(data: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256) @ CLASS_OF_BYTE
 
 
-def word_counts(counts: Counter, n_words: int, lang: str) -> np.ndarray:
-    """Counts of the language's common words, then of all other words."""
-    own = np.array([counts.get(w, 0) for w in WORDS[lang]], dtype=np.int64)
+def word_counts(counts: Counter, n_words: int, common: list[bytes]) -> np.ndarray:
+    """Counts of a language's common words, then of all other words."""
+    own = np.array([counts.get(w, 0) for w in common], dtype=np.int64)
     return np.append(own, n_words - own.sum())
 
 
@@ -94,28 +94,39 @@ def repeated_lines(text: str) -> int:
 def _language_sums(batches):
     import pyarrow as pa
 
-    sums: dict[tuple[str, str], np.ndarray] = {}
     for batch in batches:
+        classes: dict[str, np.ndarray] = {}
+        words: dict[str, Counter] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            if lang in WORDS and text:
+            if lang is not None and text:
                 data = text.encode()
-                words = data.lower().split()
-                for kind, add in (("class", class_counts(data)), ("word", word_counts(Counter(words), len(words), lang))):
-                    sums[lang, kind] = sums.get((lang, kind), 0) + add
-    rows = [(lang, kind, i, int(v)) for (lang, kind), counts in sums.items() for i, v in enumerate(counts)]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "kind", "i", "n"])
+                classes[lang] = classes.get(lang, 0) + class_counts(data)
+                words.setdefault(lang, Counter()).update(data.lower().split())
+        rows = [(lang, "class", b"%d" % i, int(v)) for lang, counts in classes.items() for i, v in enumerate(counts)]
+        rows += [(lang, "word", w, n) for lang, counts in words.items() for w, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.int64()))], ["lang", "kind", "key", "n"])
 
 
-def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
-    """Language -> histograms summed over all documents of that language.
+def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, dict]:
+    """Language -> its common words and histograms summed over all its documents.
 
-    At most one row for each word of COMMON_WORDS and each class comes to the driver.
+    At most common_words and CLASSES rows for each of at most `languages` languages come to
+    the driver; words are counted and ranked by the executors.
     """
-    sums = docs.select("text", "lang").mapInArrow(_language_sums, "lang string, kind string, i int, n long")
-    out: dict[str, dict[str, np.ndarray]] = {}
-    for r in sums.groupBy("lang", "kind", "i").agg(F.sum("n").alias("n")).collect():
-        own = out.setdefault(r.lang, {"class": np.zeros(CLASSES, np.int64), "word": np.zeros(len(WORDS[r.lang]) + 1, np.int64)})
-        own[r.kind][r.i] = r.n
+    sums = cut(docs.select("text", "lang").mapInArrow(_language_sums, "lang string, kind string, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+    totals = sums.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= rules.reference_words)
+    total = {r.lang: r.total for r in totals.orderBy(F.desc("total"), "lang").limit(rules.languages).collect()}
+    mine = sums.filter(F.col("lang").isin(list(total)))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
+    top = mine.filter("kind = 'word'").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rules.common_words).orderBy("lang", "place").collect()
+    out = {lang: {"class": np.zeros(CLASSES, np.int64), "words": [], "counts": []} for lang in total}
+    for r in mine.filter("kind = 'class'").collect():
+        out[r.lang]["class"][int(r.key)] = r.n
+    for r in top:
+        out[r.lang]["words"].append(bytes(r.key))
+        out[r.lang]["counts"].append(r.n)
+    for lang, ref in out.items():
+        ref["word"] = np.array([*ref["counts"], total[lang] - sum(ref["counts"])], dtype=np.int64)
     return out
 
 
@@ -139,7 +150,7 @@ def judge(text: str | None, lang: str | None, refs: dict, rules: Rules) -> tuple
         by_class = min(distance(own, refs[x]["class"]) for x in near)
     if near and n >= rules.guard_words:
         counts = Counter(data.lower().split())
-        by_word = min(distance(word_counts(counts, n, x), refs[x]["word"]) for x in near)
+        by_word = min(distance(word_counts(counts, n, refs[x]["words"]), refs[x]["word"]) for x in near)
     far = (by_class is not None and by_class > rules.class_distance) or (by_word is not None and by_word > rules.word_distance)
     return n, len(text) - blanks, symbols, repeated_lines(text), repeats, by_class, by_word, failed, not (failed or far)
 
@@ -147,14 +158,15 @@ def judge(text: str | None, lang: str | None, refs: dict, rules: Rules) -> tuple
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), refs: dict | None = None) -> DataFrame:
     """Per row of docs(doc_id, text, lang): doc_id and FIELDS.
 
-    A document of a language without a reference (or a null one) is held against the
-    nearest reference. Texts under the guards' lengths, and all texts of a corpus without
+    A document of a language without a reference (a null one, or one with too few words) is
+    held against the nearest reference. Texts under the guards' lengths, and all texts of a corpus without
     any reference, have null distances and are judged by the base rules alone. Null text is
-    empty: no words, base_failed. Repeated rows are judged alike, each returned.
+    empty: no words, base_failed. Whole texts are judged, however long; repeated rows alike,
+    each returned; other columns are ignored. An empty table gives no rows.
     """
     import pyarrow as pa
 
-    refs = references(docs) if refs is None else refs
+    refs = references(docs, rules) if refs is None else refs
     kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
@@ -177,12 +189,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     r = Rules()
     word = r"[^\x20\x09-\x0D]"
-    lists = ", ".join("('%s', ['%s'])" % (lang, "', '".join(w.decode() for w in words)) for lang, words in WORDS.items())
     js = "sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
     # of[kind]: counts of each document by class or common word, as (doc_id, lang of the histogram, i, n)
     return f"""
-WITH common(lang, list) AS (VALUES {lists}),
-d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w,
+WITH d AS MATERIALIZED (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w,
       list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM documents),
 g AS (SELECT doc_id, i, k, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (
       SELECT doc_id, unnest(range(1, len(w) - {r.window - 2})) AS i, unnest(list_transform(range(1, len(w) - {r.window - 2}), lambda i: array_to_string(w[i:i + {r.window - 1}], ' '))) AS k FROM d WHERE len(w) > {r.window})),
@@ -194,10 +204,10 @@ c0 AS (SELECT doc_id, [len(regexp_extract_all(t, '[a-z]')), len(regexp_extract_a
       len(regexp_extract_all(t, '[.,;:!?''"()-]'))] AS c, length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) AS wide, length(t) AS n FROM d),
 c1 AS (SELECT doc_id, list_concat(c, [n - wide - list_sum(c), wide]) AS c FROM c0),
 cls AS (SELECT doc_id, unnest(range(7)) AS i, unnest(c)::DOUBLE AS n FROM c1),
-tok AS (SELECT doc_id, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM d),
-cnt AS (SELECT doc_id, k, count(*) AS n FROM tok GROUP BY 1, 2),
-voc AS (SELECT lang, unnest(list) AS k FROM common),
-refs AS (SELECT DISTINCT lang FROM d JOIN common USING (lang) WHERE t <> ''),
+tok AS MATERIALIZED (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM d),
+cnt AS MATERIALIZED (SELECT doc_id, k, count(*) AS n FROM tok GROUP BY 1, 2),
+refs AS MATERIALIZED (SELECT lang FROM tok WHERE lang IS NOT NULL GROUP BY 1 HAVING count(*) >= {r.reference_words} ORDER BY count(*) DESC, lang LIMIT {r.languages}),
+voc AS MATERIALIZED (SELECT lang, k FROM (SELECT lang, k, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, k) AS place FROM tok JOIN refs USING (lang) GROUP BY 1, 2) WHERE place <= {r.common_words}),
 near AS (SELECT doc_id, r.lang FROM b JOIN refs r ON r.lang = b.lang OR b.lang IS NULL OR b.lang NOT IN (SELECT lang FROM refs)),
 own AS (SELECT near.doc_id, near.lang, voc.k, coalesce(cnt.n, 0)::DOUBLE AS n FROM near JOIN voc USING (lang) LEFT JOIN cnt ON cnt.doc_id = near.doc_id AND cnt.k = voc.k),
 wrd AS (SELECT * FROM own UNION ALL SELECT o.doc_id, o.lang, chr(0), b.n_words - o.n FROM (SELECT doc_id, lang, sum(n) AS n FROM own GROUP BY 1, 2) o JOIN b USING (doc_id)),

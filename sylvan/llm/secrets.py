@@ -98,7 +98,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=None) -> DataFr
 
     ledger holds entries of earlier scans, of any rule versions. Copies of a text, however
     many, are one blob: they meet in a partial aggregation before the shuffle. An entry
-    without spans records that the blob is clean. Null and empty texts are one clean blob.
+    without spans records that the blob is clean. Null and empty texts are one clean blob; an
+    empty table gives no entries. Whole texts are scanned, however long, in time that grows
+    with their length; other columns are ignored.
     """
     rules = RULES if rules is None else rules
     version = rules_version(rules)
@@ -119,7 +121,11 @@ def with_findings(docs: DataFrame, entries: DataFrame, rules=None, name: str = "
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules=None) -> tuple[DataFrame, DataFrame]:
-    """(docs with spans, ledger with the new entries). Repeated rows each get the findings."""
+    """(docs with spans, ledger with the new entries).
+
+    Repeated rows each get the findings. Columns of docs stay, whatever their names, but for
+    one named spans, which is replaced.
+    """
     entries = scan(docs, ledger, rules)
     if ledger is not None:
         entries = ledger.select("blob", "rules_version", "spans").unionByName(entries)

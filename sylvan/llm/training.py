@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.common import fold, shuffle_key
+from sylvan.llm.common import fold, shuffle_key, slices
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
@@ -40,7 +40,7 @@ def scored(docs: DataFrame, score_texts) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             scores = score_texts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
