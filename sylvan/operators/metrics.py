@@ -24,13 +24,20 @@ COMMENTS = ["comment", "line_comment", "block_comment"]
 COMPACT = 8
 
 
-def subtree_sum(occ: DataFrame, value: Column, name: str) -> DataFrame:
-    """Adds name: the sum of value over each node and all below it. One window, one join by tree."""
+def subtree_sums(occ: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Adds, for each name, the sum of its value over each node and all below it. One window, one join by tree."""
     run = Window.partitionBy("root").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
-    rows = occ.withColumn("__v", value).withColumn("__run", F.sum("__v").over(run))
-    ends = rows.select("root", F.col("pre").alias("__end"), F.col("__run").alias("__upto"))
+    own, upto, to = (lambda n: f"__own_{n}"), (lambda n: f"__run_{n}"), (lambda n: f"__to_{n}")
+    rows = occ.withColumns({own(n): v for n, v in values.items()}).withColumns({upto(n): F.sum(own(n)).over(run) for n in values})
+    ends = rows.select("root", F.col("pre").alias("__end"), *(F.col(upto(n)).alias(to(n)) for n in values))
     joined = rows.withColumn("__end", F.col("pre") + F.col("size") - 1).join(ends, ["root", "__end"])
-    return joined.withColumn(name, F.col("__upto") - F.col("__run") + F.col("__v")).drop("__v", "__run", "__end", "__upto")
+    summed = joined.withColumns({n: F.col(to(n)) - F.col(upto(n)) + F.col(own(n)) for n in values})
+    return summed.drop("__end", *(f(n) for n in values for f in (own, upto, to)))
+
+
+def subtree_sum(occ: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds name: the sum of value over each node and all below it."""
+    return subtree_sums(occ, {name: value})
 
 
 def size_no_spaces(occ: DataFrame) -> DataFrame:
@@ -81,9 +88,9 @@ def loc(occ: DataFrame) -> DataFrame:
 
 def counts_below(occ: DataFrame) -> DataFrame:
     """Adds statements, member_imports and leaves: how many of each lie in the subtree. Not saturated."""
-    out = subtree_sum(occ, F.when(F.col("type").rlike("_statement$|^local_variable_declaration$"), 1).otherwise(0), "statements")
-    out = subtree_sum(out, F.when(F.col("type") == "import_declaration", 1).otherwise(0), "member_imports")
-    return subtree_sum(out, F.when(F.col("size") == 1, 1).otherwise(0), "leaves")
+    count = lambda condition: F.when(condition, 1).otherwise(0)
+    kind = F.col("type")
+    return subtree_sums(occ, {"statements": count(kind.rlike("_statement$|^local_variable_declaration$")), "member_imports": count(kind == "import_declaration"), "leaves": count(F.col("size") == 1)})
 
 
 @dataclass(frozen=True)
@@ -163,9 +170,7 @@ def merkle(occ: DataFrame, name: str = "content", labels: bool = True, levels: i
 
 def precomputed_bits(occ: DataFrame, conditions: list[Column]) -> DataFrame:
     """Adds bits: bit i is set if condition i holds for a node of the subtree."""
-    out = occ
-    for i, c in enumerate(conditions):
-        out = subtree_sum(out, F.when(c, 1).otherwise(0), f"__b{i}")
+    out = subtree_sums(occ, {f"__b{i}": F.when(c, 1).otherwise(0) for i, c in enumerate(conditions)})
     bits = sum((F.when(F.col(f"__b{i}") > 0, 1 << i).otherwise(0) for i in range(len(conditions))), F.lit(0))
     return out.withColumn("bits", bits).drop(*(f"__b{i}" for i in range(len(conditions))))
 

@@ -112,14 +112,14 @@ def node_paths(spark, sf_dir):
 @query(f"WITH {FOREST} SELECT a.root, a.pre, count(*) FILTER (d.label = 'R') + 1 AS mcc FROM occ a JOIN occ d ON a.root = d.root AND d.pre >= a.pre AND d.pre < a.pre + a.size GROUP BY 1, 2")
 def complexity(spark, sf_dir):
     """Forks are returned lines: the type column carries the label, as forks are types."""
-    occ = order_forest(spark, sf_dir).withColumn("type", F.coalesce("label", "type"))
+    occ = cut(order_forest(spark, sf_dir).withColumn("type", F.coalesce("label", "type")))
     return metrics.mcc(occ, ["R"]).select("root", "pre", "mcc")
 
 
 @query(f"WITH {FOREST} SELECT a.root, a.pre, (bit_or(CASE d.label WHEN 'R' THEN 1 WHEN 'A' THEN 2 WHEN 'O' THEN 4 ELSE 0 END))::INT AS bits FROM occ a JOIN occ d ON a.root = d.root AND d.pre >= a.pre AND d.pre < a.pre + a.size GROUP BY 1, 2")
 def precomputed_bits(spark, sf_dir):
     label = F.col("label")
-    return metrics.precomputed_bits(order_forest(spark, sf_dir), [label == "R", label == "A", label == "O"]).select("root", "pre", "bits")
+    return metrics.precomputed_bits(cut(order_forest(spark, sf_dir)), [label == "R", label == "A", label == "O"]).select("root", "pre", "bits")
 
 
 @query(
@@ -130,7 +130,7 @@ every AS (SELECT 'lineitem' AS type, h FROM h0 UNION ALL SELECT 'order', h FROM
 SELECT type, count(*) AS nodes, count(DISTINCT h) AS distinct_nodes FROM every GROUP BY 1"""
 )
 def deduplication(spark, sf_dir):
-    occ = order_forest(spark, sf_dir)
+    occ = cut(order_forest(spark, sf_dir))
     return occ.join(metrics.merkle(occ, levels=2), ["root", "pre"]).groupBy("type").agg(F.count("*").alias("nodes"), F.countDistinct("content").alias("distinct_nodes"))
 
 
@@ -209,7 +209,7 @@ def pattern_counts(spark, sf_dir):
 
 @query(f"WITH {FOREST}, m AS (SELECT root, count(*) AS n FROM occ WHERE type = 'lineitem' AND label = 'R' GROUP BY 1) SELECT root, n AS matches FROM m")
 def pattern_with_precomputed_skip(spark, sf_dir):
-    occ = metrics.precomputed_bits(order_forest(spark, sf_dir), [F.col("label") == "R"])
+    occ = metrics.precomputed_bits(cut(order_forest(spark, sf_dir)), [F.col("label") == "R"])
     return patterns.matches(patterns.skip_by_bits(occ, "bits", 1), '(lineitem) @a (#eq? @a "R")').groupBy("root").agg(F.count("*").alias("matches"))
 
 
@@ -428,4 +428,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from sylvan.plans import histories, java_views, pattern_views, tree_views  # noqa: E402,F401  they register their queries here
+from sylvan.plans import histories, java_views, pattern_views, service_views, tree_views  # noqa: E402,F401  they register their queries here
