@@ -107,7 +107,7 @@ def pearson_table(seed: int = 0) -> list[int]:
 def pearson(text: Column, seed: int = 0) -> Column:
     """The 8-bit Pearson hash of a text's characters below 256, others by their lowest byte."""
     table = F.array(*map(F.lit, pearson_table(seed)))
-    return F.aggregate(F.split(text, ""), F.lit(0), lambda h, c: F.get(table, h.bitwiseXOR(F.ascii(c).bitwiseAND(F.lit(255)))))
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda h, c: F.get(table, h.bitwiseXOR(F.ascii(c).bitwiseAND(F.lit(255)))))
 
 
 def hash16(text: Column, modulus: int = 2**16) -> Column:

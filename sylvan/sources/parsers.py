@@ -206,6 +206,12 @@ def brackets(text: str, lang: str) -> Iterator[Node]:
     types, imports = _TYPES[lang], _IMPORTS[lang]
     leaves = [(m.lastgroup, m[0], m.start(), m.end()) for m in (_C if lang in ("c", "cpp") else _TOKENS).finditer(text)]
     out: list[list] = []
+    closed, waiting = {}, []  # ( -> its )
+    for k, (group, t, *_) in enumerate(leaves):
+        if group == "punct" and t in "([{":
+            waiting.append(k)
+        elif group == "punct" and t in ")]}" and waiting:
+            closed[waiting.pop()] = k
 
     def emit(depth, kind, label, role, start, end):
         out.append([depth, kind, label, role, start, end])
@@ -220,18 +226,19 @@ def brackets(text: str, lang: str) -> Iterator[Node]:
 
     def kind_of(i, end):
         """Type of the statement that begins at leaf i, by its words up to { or ;."""
-        words, shut = [], 0
-        for j in range(i, end):
+        words, j = [], i
+        while j < end:
             group, t = leaves[j][:2]
-            if group in ("spaces", "line_comment", "block_comment"):
-                continue
-            if t == "(":
-                shut += 1
-            elif t == ")":
-                shut -= 1
-            if shut == 0 and t in "{;" and group == "punct":
+            if group == "punct" and t in "{;}":
                 break
-            words.append(t)
+            if group not in ("spaces", "line_comment", "block_comment"):
+                words.append(t)
+            if group == "punct" and t in "([":
+                if j not in closed:
+                    break
+                j = closed[j]
+                words.append(leaves[j][1])
+            j += 1
         if not words:
             return "statement"
         if words[0] in _CONTROL:

@@ -38,6 +38,7 @@ def reprinted(lang, text):
         ("synchronized (this) { }", "synchronized_statement"),
         ("record P(int x) { P { } }", "record_declaration"),
         ("a: while (true) break a;", "labeled_statement"),
+        ("é ß = ü;", "local_variable_declaration"),
         ("int x = switch (d) { case MON -> 1; default -> { yield 2; } };", "yield_statement"),
     ],
 )
@@ -47,7 +48,7 @@ def test_java_statements(statement, kind):
     assert kinds[kind] and not kinds["ERROR"] and reprinted("java", text) == text
 
 
-@pytest.mark.parametrize("text", ["class A { void f() { x = 1 int y; if ( } void g() {} }", "int f( {", "((((", "'", '"x', "@", "<T>", "x ->", "new int", "}}} class A {}", "é ß = ü;", "switch(x){ int y; }"])
+@pytest.mark.parametrize("text", ["class A { void f() { x = 1 int y; if ( } void g() {} }", "int f( {", "((((", "'", '"x', "@", "<T>", "x ->", "new int", "}}} class A {}", "switch(x){ int y; }"])
 def test_broken_java_is_reprinted(text):
     kinds = Counter(n[1] for n in java(text))
     assert reprinted("java", text) == text and kinds["ERROR"]
@@ -138,7 +139,7 @@ def test_a_git_repository(spark, tmp_path):
     commits, entries, blobs = projects.read_repository(spark, repo)
     rows = {r.message: r for r in commits.collect()}
     assert rows["commit 1"].parents == [rows["commit 0"].commit] and rows["commit 0"].parents == []
-    assert entries.count() == 4 and sorted(r.text for r in blobs.collect()) == ["class A {}", "class A { int x; }", "same"]
+    assert entries.count() == 4 and sorted(r.text for r in blobs.collect()) == sorted(["class A {}", "class A { int x; }", "same"])
     assert projects.with_fork(commits, commits.filter("message = 'commit 0'")).count() == 2
     pulls = spark.createDataFrame([(1, rows["commit 1"].commit, "h", True), (2, "zz", "h", True), (3, rows["commit 0"].commit, "h", False)], "number int, merge string, head string, merged boolean")
     assert [r.number for r in projects.pull_requests(pulls, commits).collect()] == [1]
