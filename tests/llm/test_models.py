@@ -218,3 +218,18 @@ def test_quality_rules(spark):
     assert found.loc[36].word_chars == len((odd[6]).replace(" ", "").replace("\x0b", ""))
     assert rules.quality_rules(docs, refs={}).toPandas().class_distance.isna().all()
     assert rules.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_rules_learn_whatever_languages_there_are(spark):
+    rng = random.Random(11)
+    common = "zorp quib flan drel mosk yuv tarn oop glim vash".split()
+    text = lambda: " ".join(rng.choice(common) if rng.random() < 0.6 else "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120))
+    rows = [(i, text(), "xx", "s", 0) for i in range(40)] + [(i, "the of and to in " * 30 + text(), "en", "s", 0) for i in range(40, 80)]
+    strange = " ".join("".join(rng.choice("ijklmnop") for _ in range(6)) for _ in range(120))
+    rows += [(100, strange, "xx", "s", 0), (101, strange, None, "s", 0), (102, text(), "rare", "s", 0), (103, "a " * 400000, "xx", "s", 0)]
+    docs = documents(spark, rows)
+    refs = rules.references(docs)
+    assert set(refs) == {"xx", "en"} and set(refs["xx"]["words"][1:11]) >= {w.encode() for w in common[:8]}
+    found = rules.quality_rules(docs).toPandas().set_index("doc_id")
+    assert found.loc[list(range(40))].kept.all() and not found.loc[[100, 101, 103]].kept.any() and found.loc[102].kept
+    assert rules.references(documents(spark, [(1, None, "en", "s", 0), (2, "short", "en", "s", 0)])) == {}
