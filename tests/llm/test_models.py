@@ -226,7 +226,7 @@ def test_rules_learn_whatever_languages_there_are(spark):
     text = lambda: " ".join(rng.choice(common) if rng.random() < 0.6 else "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120))
     rows = [(i, text(), "xx", "s", 0) for i in range(40)] + [(i, "the of and to in " * 30 + text(), "en", "s", 0) for i in range(40, 80)]
     strange = " ".join("".join(rng.choice("ijklmnop") for _ in range(6)) for _ in range(120))
-    rows += [(100, strange, "xx", "s", 0), (101, strange, None, "s", 0), (102, text(), "rare", "s", 0), (103, "a " * 400000, "xx", "s", 0)]
+    rows += [(100, strange, "xx", "s", 0), (101, strange, None, "s", 0), (102, text(), "rare", "s", 0), (103, "a " * 400000, None, "s", 0)]
     docs = documents(spark, rows)
     refs = rules.references(docs)
     assert set(refs) == {"xx", "en"} and set(refs["xx"]["words"][1:11]) >= {w.encode() for w in common[:8]}
