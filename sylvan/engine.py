@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.operators import diff, graph, graph_rules, history, metrics, navigation, patterns, serialize
+from sylvan.operators.lineage import cut
 from sylvan.operators.metrics import MetricSpec
 
 
@@ -26,11 +27,13 @@ class Config:
 class Engine:
     """commits(commit, parents, time, ...) and occ: occurrences whose root names a commit's tree.
 
-    root_of maps commits to roots: (commit, root).
+    root_of maps commits to roots: (commit, root). of(roots) gives the occurrences of some
+    roots(root) only, where a source can make fewer trees than all; else they are picked from occ.
     """
 
-    def __init__(self, commits: DataFrame, root_of: DataFrame, occ: DataFrame):
+    def __init__(self, commits: DataFrame, root_of: DataFrame, occ: DataFrame, of: Callable[[DataFrame], DataFrame] | None = None):
         self.commits, self.root_of, self.occ = commits, root_of, occ
+        self.of = of or (lambda roots: self.occ.join(roots, "root", "left_semi"))
         self.config, self.timings = Config(), {}
 
     def register(self, config: Config) -> Engine:
@@ -63,12 +66,12 @@ class Engine:
     def trees(self, commits: DataFrame) -> DataFrame:
         """Occurrences of the trees of some commits; equal roots are taken once."""
         roots = self.root_of.join(commits.select("commit"), "commit", "left_semi").select("root").distinct()
-        return self.occ.join(roots, "root", "left_semi")
+        return self.of(roots)
 
     def query(self, source: str, after: str, before: str | None = None, limit: int | None = None) -> DataFrame:
         """(commit, counts): matches of each pattern, in the order of the query text."""
-        commits = self.walk(after, before, limit)
-        counted = patterns.counts(self.trees(commits), source)
+        commits = cut(self.walk(after, before, limit).select("commit"))
+        counted = patterns.counts(cut(self.trees(commits)), source)
         per = counted.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pattern", "matches"))), lambda x: x.matches).alias("counts"))
         return self.root_of.join(commits.select("commit"), "commit").join(per, "root").select("commit", "counts")
 
@@ -79,13 +82,15 @@ class Engine:
         return per.select("commit", F.transform("counts", lambda n: F.least(n, F.lit(max_matches))).alias("counts"), many.alias("errors"))
 
     def query_stream(self, source: str, after: str, limit: int | None = None, chunk: int = 100) -> Iterator:
-        """(commit, counts) in the order of the walk; commits are counted `chunk` at a time, one job for each chunk."""
+        """(commit, counts) in the order of the walk; the trees are gathered once, then counted `chunk` commits at a time, one job for each chunk."""
         walk = self.walk(after, limit=limit).select("commit", "far").checkpoint(eager=True)
         total = walk.count()
+        trees = cut(self.trees(walk))
         ranked = walk.select("commit", (F.row_number().over(history.Window.orderBy("far", "commit")) - 1).alias("rank"))  # one row a commit
         for start in range(0, total, chunk):
             part = ranked.filter(F.col("rank").between(start, start + chunk - 1))
-            counted = patterns.counts(self.trees(part), source).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pattern", "matches"))), lambda x: x.matches).alias("counts"))
+            roots = self.root_of.join(part.select("commit"), "commit", "left_semi").select("root")
+            counted = patterns.counts(trees.join(roots, "root", "left_semi"), source).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pattern", "matches"))), lambda x: x.matches).alias("counts"))
             for r in self.root_of.join(part, "commit").join(counted, "root").orderBy("rank").toLocalIterator():
                 yield r.commit, list(r.counts)
 
@@ -98,8 +103,8 @@ class Engine:
 
     def script(self, spec: MetricSpec, name: str, after: str, limit: int | None = None) -> DataFrame:
         """(commit, name): a bottom-up metric at the root of each commit's tree."""
-        commits = self.walk(after, limit=limit)
-        values = metrics.bottom_up(self.trees(commits), spec, name).filter("pre = 0")
+        commits = cut(self.walk(after, limit=limit).select("commit"))
+        values = metrics.bottom_up(cut(self.trees(commits)), spec, name).filter("pre = 0")
         return self.root_of.join(commits.select("commit"), "commit").join(values, "root").select("commit", name)
 
     def diff(self, src: str, dst: str, algorithm: str = "greedy_100") -> DataFrame:

@@ -97,7 +97,7 @@ def engine(spark, sf_dir, config: Config | None = None) -> tuple[Engine, str]:
     history_ = cut(c.select(F.col("c_custkey").cast("string").alias("commit"), parents.alias("parents"), "c_nationkey"))
     head = c.filter("c_nationkey = 0").agg(F.max("c_custkey")).first()[0]
     root_of = c.select(F.col("c_custkey").cast("string").alias("commit"), F.col("c_custkey").alias("root"))
-    made = Engine(history_, root_of, cut(order_forest(spark, sf_dir)))
+    made = Engine(history_, root_of, order_forest(spark, sf_dir), of=lambda roots: order_forest(spark, sf_dir, roots))
     return (made.register(config) if config else made), str(head)
 
 
