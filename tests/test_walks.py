@@ -61,3 +61,9 @@ def test_query_makes_the_trees_of_its_walk_only(asked):
     engine, calls = asked
     assert {r["commit"]: list(r["counts"]) for r in engine.query("(leaf)", "3").collect()} == {"3": [4], "2": [3], "1": [2], "0": [1]}
     assert calls == [[0, 1, 2, 3]]
+
+
+def test_limits_on_the_trees_of_a_walk(asked):
+    engine, calls = asked
+    assert {r["commit"]: (list(r["counts"]), len(r.errors)) for r in engine.compute("(leaf)", "4", max_matches=3).collect()} == {"0": ([1], 0), "1": ([2], 0), "2": ([3], 0), "3": ([3], 1), "4": ([3], 1)}
+    assert calls == [[0, 1, 2, 3, 4]]
