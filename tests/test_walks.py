@@ -67,3 +67,10 @@ def test_limits_on_the_trees_of_a_walk(asked):
     engine, calls = asked
     assert {r["commit"]: (list(r["counts"]), len(r.errors)) for r in engine.compute("(leaf)", "4", max_matches=3).collect()} == {"0": ([1], 0), "1": ([2], 0), "2": ([3], 0), "3": ([3], 1), "4": ([3], 1)}
     assert calls == [[0, 1, 2, 3, 4]]
+
+
+def test_a_script_on_the_trees_of_a_walk(asked):
+    engine, calls = asked
+    spec = MetricSpec.of("CASE WHEN type = 'leaf' THEN 1 ELSE 0 END", "sum(value)", "own + coalesce(acc, 0)")
+    assert {r["commit"]: r.n for r in engine.script(spec, "n", "2").collect()} == {"0": 1, "1": 2, "2": 3}
+    assert calls == [[0, 1, 2]]
