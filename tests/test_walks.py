@@ -74,3 +74,9 @@ def test_a_script_on_the_trees_of_a_walk(asked):
     spec = MetricSpec.of("CASE WHEN type = 'leaf' THEN 1 ELSE 0 END", "sum(value)", "own + coalesce(acc, 0)")
     assert {r["commit"]: r.n for r in engine.script(spec, "n", "2").collect()} == {"0": 1, "1": 2, "2": 3}
     assert calls == [[0, 1, 2]]
+
+
+def test_a_stream_gathers_its_trees_once(asked):
+    engine, calls = asked
+    assert list(engine.query_stream("(leaf)", "4", chunk=2)) == [(str(i), [i + 1]) for i in (4, 3, 2, 1, 0)]
+    assert calls == [[0, 1, 2, 3, 4]]
