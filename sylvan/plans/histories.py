@@ -141,7 +141,7 @@ def registered_config(spark, sf_dir):
     spec = MetricSpec.of("CASE WHEN type = 'order' THEN 1 ELSE 0 END", "sum(value)", "own + coalesce(acc, 0)")
     line = F.when(F.col("type") == "lineitem", "line")
     e, head = engine(spark, sf_dir)
-    e = Engine(e.commits, e.root_of, e.occ.withColumn("role", line)).register(Config('(lineitem (#EQ? "R")) (order !line)', spec))
+    e = Engine(e.commits, e.root_of, cut(e.occ.withColumn("role", line).drop("key", "up", "post"))).register(Config('(lineitem (#EQ? "R")) (order !line)', spec))
     return e.occ.filter("pre = 0").select("root", "bits", "metric").withColumn("commits", F.lit(e.commit_count(head)).cast("long"))
 
 
