@@ -185,3 +185,11 @@ def test_strings(spark):
 
     assert [r[0] for r in df.select(scalars.pearson(F.col("t"), 1)).collect()] == [plain(t) for t in ("abc", "", "é")]
     assert all(0 <= r[0] < 100 for r in df.select(scalars.hash16(F.col("t"), 100)).collect())
+
+
+def test_a_reference_needs_its_semicolon():
+    """Without one it is part of the text around it, in one node with it; also at the end and in front of a tag."""
+    nodes = [(n[1], n[2]) for n in parsers.html("<p>a &am</p><b>x &quo y&amp;z</b><i>&lt</i>&#39;&#39 &am")]
+    assert [n for n in nodes if n[0] in ("text", "entity")] == [("text", "a &am"), ("text", "x &quo y"), ("entity", "amp"), ("text", "z"), ("text", "&lt"), ("entity", "39"), ("text", "&#39 &am")]
+    for text in ("a&am<b>c &quo;d</b>", "&#39;x&#39y"):
+        assert all(n[2] in (text[n[4] : n[5]], text[n[4] + 1 : n[5] - 1], text[n[4] + 2 : n[5] - 1]) for n in parsers.html(text) if n[1] in ("text", "entity"))
