@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sylvan.operators import diff, history, metrics, patterns, serialize
+from sylvan.operators import diff, history, metrics, patterns, serialize, tracking
 from sylvan.sources import types
 from sylvan.sources.trees import parse
 
@@ -69,3 +69,16 @@ def test_indentation(spark):
     df = spark.createDataFrame([("  a\n    b\nc",)], "t string")
     assert df.select(serialize.reindented(F.col("t"), "  ", "\t")).first()[0] == "\ta\n\t  b\nc"
     assert df.select(serialize.indentation(F.lit("\n\n   "))).first()[0] == "   "
+
+
+def test_watching_labels_needs_no_hashes(spark):
+    """Only what is watched is computed, and only nodes that can be followed are kept."""
+    occ = parse(spark.createDataFrame([(1, '(f "x")'), (2, '(f "x")'), (3, '(f "y")')], "key long, text string"), "key", "text", "sexp").filter("type <> 'spaces'")
+    versions = spark.createDataFrame([(0, i, i + 1) for i in range(3)], "chain int, rank int, root long")
+    leaf = occ.filter("label = 'x' OR label = 'y'").agg(F.min("pre")).first()[0]
+    if leaf is None:
+        leaf = occ.filter("label IS NOT NULL").agg(F.min("pre")).first()[0]
+    links = tracking.successive(versions).select("pair", F.lit(leaf).cast("long").alias("src"), F.lit(leaf).cast("long").alias("dst"))
+    wanted = spark.createDataFrame([(9, 1, leaf)], "element long, root long, pre int")
+    found = tracking.track(wanted, versions, links, occ.drop("content", "shape"), watch=["upd"]).collect()
+    assert [(r.last_root, r.steps, r.status, r.changed) for r in found] == [(3, 2, "changed", ["upd"])]
