@@ -54,14 +54,18 @@ class Engine:
 
     def commit_count(self, after: str) -> int:
         """How many commits a query from a head takes in under the configuration."""
-        n = self.walk(after).count()
+        n = self.members(after).count()
         return n if self.config.limit is None else min(n, self.config.limit)
 
     def walk(self, after: str, before: str | None = None, limit: int | None = None) -> DataFrame:
         """Commits of a range, nearest to its head first."""
+        return self.members(after, before, limit).orderBy("far", "commit")
+
+    def members(self, after: str, before: str | None = None, limit: int | None = None) -> DataFrame:
+        """Commits of a range in no order, with a limit the nearest so many."""
         walk = history.Walk(self.commits).after(after)
-        found = (walk.before(before) if before else walk).commits().orderBy("far", "commit")
-        return found.limit(limit) if limit is not None else found
+        found = (walk.before(before) if before else walk).commits()
+        return found if limit is None else found.orderBy("far", "commit").limit(limit)
 
     def trees(self, commits: DataFrame) -> DataFrame:
         """Occurrences of the trees of some commits; equal roots are taken once."""
@@ -70,7 +74,7 @@ class Engine:
 
     def query(self, source: str, after: str, before: str | None = None, limit: int | None = None) -> DataFrame:
         """(commit, counts): matches of each pattern, in the order of the query text."""
-        commits = cut(self.walk(after, before, limit).select("commit"))
+        commits = cut(self.members(after, before, limit).select("commit"))
         counted = patterns.counts(cut(self.trees(commits)), source)
         per = counted.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pattern", "matches"))), lambda x: x.matches).alias("counts"))
         return self.root_of.join(commits.select("commit"), "commit").join(per, "root").select("commit", "counts")
@@ -83,7 +87,7 @@ class Engine:
 
     def query_stream(self, source: str, after: str, limit: int | None = None, chunk: int = 100) -> Iterator:
         """(commit, counts) in the order of the walk; the trees are gathered once, then counted `chunk` commits at a time, one job for each chunk."""
-        walk = self.walk(after, limit=limit).select("commit", "far").checkpoint(eager=True)
+        walk = cut(self.members(after, limit=limit).select("commit", "far"))
         total = walk.count()
         trees = cut(self.trees(walk))
         ranked = walk.select("commit", (F.row_number().over(history.Window.orderBy("far", "commit")) - 1).alias("rank"))  # one row a commit
@@ -103,7 +107,7 @@ class Engine:
 
     def script(self, spec: MetricSpec, name: str, after: str, limit: int | None = None) -> DataFrame:
         """(commit, name): a bottom-up metric at the root of each commit's tree."""
-        commits = cut(self.walk(after, limit=limit).select("commit"))
+        commits = cut(self.members(after, limit=limit).select("commit"))
         values = metrics.bottom_up(cut(self.trees(commits)), spec, name).filter("pre = 0")
         return self.root_of.join(commits.select("commit"), "commit").join(values, "root").select("commit", name)
 

@@ -7,6 +7,7 @@ import pytest
 from sylvan.engine import Engine
 from sylvan.operators import history
 from sylvan.operators.metrics import MetricSpec
+from sylvan.sources import trees
 
 
 def plain(graph, heads):
@@ -80,3 +81,13 @@ def test_a_stream_gathers_its_trees_once(asked):
     engine, calls = asked
     assert list(engine.query_stream("(leaf)", "4", chunk=2)) == [(str(i), [i + 1]) for i in (4, 3, 2, 1, 0)]
     assert calls == [[0, 1, 2, 3, 4]]
+
+
+def test_trees_of_some_roots_read_each_table_once(spark):
+    """Levels are written when they are sized; the plan made from them reads no table again."""
+    sf = "/root/testdata/sf0.001"
+    roots = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS root").filter("root % 7 = 0")
+    some = trees.order_forest(spark, sf, roots)
+    assert "parquet" not in some._jdf.queryExecution().toString()
+    every = trees.order_forest(spark, sf).filter("root % 7 = 0")
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.collect()))
