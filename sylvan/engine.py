@@ -64,7 +64,7 @@ class Engine:
     def members(self, after: str, before: str | None = None, limit: int | None = None) -> DataFrame:
         """Commits of a range in no order, with a limit the nearest so many."""
         walk = history.Walk(self.commits).after(after)
-        found = (walk.before(before) if before else walk).commits()
+        found = (walk.before(before) if before else walk).commits(limit)
         return found if limit is None else found.orderBy("far", "commit").limit(limit)
 
     def trees(self, commits: DataFrame) -> DataFrame:

@@ -100,3 +100,21 @@ def test_a_long_chain_is_crossed_in_few_jobs(spark, monkeypatch):
     monkeypatch.setattr(history, "cut", lambda df: steps.append(1) or real(df))
     assert {r["commit"]: r.far for r in history.Walk(frame(spark, graph)).after("299").commits().collect()} == plain(graph, ["299"])
     assert len(steps) < 16  # one for each doubling, but not two
+
+
+def test_a_limited_walk_doubles_up_to_its_limit_only(spark, monkeypatch):
+    """The nearest ones are all found, over merges and with commits taken out, and few steps are prepared for them."""
+    graph = {str(i): [str(i - 1)] + ([str(i - 3)] if i in (12, 27) else []) if i else [] for i in range(30)}
+    steps = []
+    real = history.cut
+    monkeypatch.setattr(history, "cut", lambda df: steps.append(1) or real(df))
+    engine = Engine(frame(spark, graph), None, None)
+    far, hidden = plain(graph, ["29"]), plain(graph, graph["20"])
+    nearest = sorted((n, c) for c, n in far.items())[:6]
+    assert [(r.far, r["commit"]) for r in engine.walk("29", limit=6).collect()] == nearest
+    left = sorted((n, c) for c, n in far.items() if c not in hidden)
+    assert [(r.far, r["commit"]) for r in engine.walk("29", before="20", limit=50).collect()] == left
+    chain = {str(i): [str(i - 1)] if i else [] for i in range(300)}
+    steps.clear()
+    assert [(r.far, r["commit"]) for r in Engine(frame(spark, chain), None, None).walk("299", limit=3).collect()] == [(0, "299"), (1, "298"), (2, "297")]
+    assert len(steps) < 6
